@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import simhash, substring, toxicity
+from tidewater.llm import packing, pii, simhash, substring, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_windows(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH toks AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS t
@@ -44,5 +52,11 @@ SELECT doc_id, CAST(min(pos) AS BIGINT) AS start_token, CAST(max(pos) + 50 AS BI
 FROM islands GROUP BY doc_id, action, g
 """
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_substring": op2_substring, "op7_toxicity": op7_toxicity}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
+    "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op9_pii": op9_pii,
+}
 SQL = {"op2_substring": OP2_SQL}

@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score(x) = bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the distinct
-hashed words of a document. The pairwise part learns what an additive model
+hashed words and word beginnings of a document. The pairwise part learns what an additive model
 can't, such as an insult that counts only beside the mention of a group.
 Training uses a bounded sample of labelled documents (``max_train``, the least
 hashes of doc_id); scoring covers every document whole. The model has a fixed
@@ -26,13 +26,25 @@ SLOTS = 1 << 18
 FACTORS = 8
 MAX_TRAIN = 8000
 TERMS = 2000
-LEAST_CHI = 20.0
+LEAST_CHI = 12.0
+#: Bytes of the beginnings of words that are terms too, so that inflected forms share weights.
+STEMS = (5, 6, 7, 8)
 
 
-def term_slots(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """The distinct hashed words of each row."""
+def slots_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each word and of its beginnings (words x terms), and where each row's words begin."""
     starts, ends, first = tx.words(buf, offs, tx.punctuation())
-    slot = (tx.hashes(buf, starts, ends, True) >> np.uint64(46)).astype(np.int32)
+    whole = tx.hashes(buf, starts, ends, True)
+    terms = [whole]
+    for size in STEMS:
+        stem = tx.hashes(buf, starts, np.minimum(ends, starts + size), True) ^ np.uint64(size)
+        terms.append(np.where(ends - starts > size, stem, whole))
+    return (np.stack(terms, 1) >> np.uint64(46)).astype(np.int32), first
+
+
+def term_slots(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    """The distinct hashed words, and beginnings of words, of each row."""
+    slot, first = slots_of(buf, offs)
     return [np.unique(slot[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
@@ -90,7 +102,7 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
     return np.sort(top[chi[top] >= LEAST_CHI])
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, terms: int = TERMS, seed: int = 3) -> Machine:
+def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.1, l2: float = 5e-4, terms: int = TERMS, seed: int = 3) -> Machine:
     """AdaGrad on the logistic loss; a fifth of the rows is held out to set the threshold.
 
     The threshold is the least score above which at least 98 of 100 held-out
@@ -138,16 +150,16 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float =
     return out
 
 
-def pick_threshold(scores: np.ndarray, y: np.ndarray, precision: float = 0.98) -> float:
-    """The least score, at least 0, such that the rows above it are toxic at that precision; halfway to the next row below."""
+def pick_threshold(scores: np.ndarray, y: np.ndarray, precision: float = 0.98, floor: float = -1.5) -> float:
+    """The least score, at least ``floor``, such that the rows above it are toxic at that precision; halfway to the next row below."""
     order = np.argsort(-scores, kind="stable")
     right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero((right >= precision) & (scores[order] > 0))
+    good = np.flatnonzero((right >= precision) & (scores[order] > floor))
     if not len(good):
-        return max(0.0, float(scores.max(initial=0.0)))
+        return max(floor, float(scores.max(initial=floor)))
     k = good[-1]
     below = scores[order[k + 1]] if k + 1 < len(order) else scores[order[k]]
-    return max(0.0, float((scores[order[k]] + below) / 2))
+    return max(floor, float((scores[order[k]] + below) / 2))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +194,10 @@ def _score(shared):
             out: list[np.ndarray] = []
             for i, j in tx.slices(offs):
                 part, at = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                starts, ends, first = tx.words(part, at, tx.punctuation())
-                row = model.index[(tx.hashes(part, starts, ends, True) >> np.uint64(46)).astype(np.int64)]
+                slot, first = slots_of(part, at)
+                row = model.index[slot.ravel()]
                 known = np.flatnonzero(row)
-                cut = np.searchsorted(known, first)
+                cut = np.searchsorted(known, first * slot.shape[1])
                 row = row[known]
                 out.append(np.array([model._score(np.unique(row[a:b])) if b > a else model.bias for a, b in zip(cut[:-1], cut[1:], strict=True)]))
             score = np.concatenate(out) if out else np.zeros(0)
