@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import packing, pii, simhash, substring, toxicity
+from tidewater.llm import bpe, embeddings, media, packing, pii, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,68 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.recovered_pages(spark, _table(spark, sf_dir, "pages"))
+
+
+def warc_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of quarantined bytes of the same damaged crawl."""
+    return warc.damaged_crawl(spark, _table(spark, sf_dir, "pages")).where("kind = 'gap'").select("path", "offset", "length", "reason")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded again."""
+    return bpe.decode_documents(bpe.encode_documents(_table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_windows(_table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.page_media(_table(spark, sf_dir, "pages"))
+
+
+def media_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The media columns that don't depend on where a payload lies."""
+    return op8_media(spark, sf_dir).select("page_id", "digest", "raw_length", "media_type", "language", "charset", "title")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9).select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))
+
+
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs at a lower threshold, which small tables hold too."""
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.35).select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))
+
+
+_PAIRS_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS s
+      FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT vec_a, vec_b, round(s, 6) AS similarity FROM p WHERE s >= {}
+"""
+
+OP3_SQL = """
+SELECT page_id, url, md5(html) AS html_md5, CAST(strlen(html) AS BIGINT) AS html_bytes FROM pages WHERE left(md5(url), 1) <> '0'
+"""
+
+MEDIA_SQL = r"""
+SELECT page_id, sha256(html) AS digest, CAST(strlen(html) AS BIGINT) AS raw_length, 'text/html' AS media_type,
+       regexp_extract(html, '<html[^>]*? lang="([\w-]+)', 1) AS language, regexp_extract(html, '<meta[^>]*? charset="([\w-]+)', 1) AS charset,
+       regexp_extract(html, '<title[^>]*>(.*?)</title>', 1) AS title
+FROM pages
+""".replace("\\\\", "\\")
+
 OP2_SQL = r"""
 WITH toks AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS t
@@ -55,8 +110,23 @@ FROM islands GROUP BY doc_id, action, g
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
+    "op3_warc": op3_warc,
+    "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_media": op8_media,
     "op9_pii": op9_pii,
+    "op10_embeddings": op10_embeddings,
+    "warc_gaps": warc_gaps,
+    "bpe_round_trip": bpe_round_trip,
+    "media_metadata": media_metadata,
+    "embedding_neighbours": embedding_neighbours,
+}
+SQL = {
+    "op2_substring": OP2_SQL,
+    "op3_warc": OP3_SQL,
+    "bpe_round_trip": "SELECT doc_id, text FROM documents",
+    "media_metadata": MEDIA_SQL,
+    "op10_embeddings": _PAIRS_SQL.format(0.9),
+    "embedding_neighbours": _PAIRS_SQL.format(0.35),
 }
-SQL = {"op2_substring": OP2_SQL}
