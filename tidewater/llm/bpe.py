@@ -14,6 +14,7 @@ kept in a bounded table.
 from __future__ import annotations
 
 import base64
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,8 +119,8 @@ def encode_one(v: Vocabulary, piece: bytes) -> np.ndarray:
     return np.array([t for t in token if t >= 0], np.int32)
 
 
-def encode_together(v: Vocabulary, pieces: list[bytes], width: int) -> list[np.ndarray]:
-    """Token ids of pre-tokens of at most ``width`` bytes, ``width`` a power of two: all trees in lockstep."""
+def encode_together(v: Vocabulary, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids, and how many each has, of pre-tokens of at most ``width`` bytes, ``width`` a power of two: all trees in lockstep."""
     w = len(pieces)
     size = np.array([len(p) for p in pieces], np.int32)
     raw = np.zeros((w, width + 1), np.uint8)
@@ -170,8 +171,7 @@ def encode_together(v: Vocabulary, pieces: list[bytes], width: int) -> list[np.n
         if left.any():
             put(rows[left], b[left], v.rank(token[rows[left], b[left]], token[rows[left], i[left]]))
         rows = rows[tree[rows, 1] != NONE]
-    flat = token[live]
-    return np.split(flat, np.cumsum(live.sum(1))[:-1])
+    return token[live], live.sum(1)
 
 
 class Encoder:
@@ -186,28 +186,29 @@ class Encoder:
         self.flat, self.offs = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.index.keys(), key=len)
+        new = words - self.index.keys()
         if not new:
             return
-        raw = [x.encode() for x in new]
-        ids: list = [None] * len(new)
-        groups: dict[int, list[int]] = {}
-        for k, piece in enumerate(raw):
-            groups.setdefault(1 << max(0, (len(piece) - 1).bit_length()), []).append(k)
-        for width, members in groups.items():
+        raw = sorted(((x.encode(), x) for x in new), key=lambda x: len(x[0]))
+        pieces = [p for p, _ in raw]
+        wide = [1 << max(0, (len(p) - 1).bit_length()) for p in pieces]
+        flat, sizes, a = [self.flat], [], 0
+        while a < len(pieces):
+            width = wide[a]
             if width > TOGETHER:
-                for k in members:
-                    ids[k] = encode_one(self.v, raw[k])
-            else:
-                step = max(1, (1 << 18) // width)
-                for a in range(0, len(members), step):
-                    part = members[a : a + step]
-                    for k, got in zip(part, encode_together(self.v, [raw[k] for k in part], width), strict=True):
-                        ids[k] = got
+                flat.append(encode_one(self.v, pieces[a]))
+                sizes.append([len(flat[-1])])
+                a += 1
+                continue
+            b = min(a + max(1, (1 << 18) // width), bisect.bisect_right(wide, width))
+            ids, each = encode_together(self.v, pieces[a:b], width)
+            flat.append(ids)
+            sizes.append(each)
+            a = b
         base = len(self.index)
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        self.offs = np.r_[self.offs, self.offs[-1] + np.cumsum([len(x) for x in ids])]
-        self.flat = np.concatenate([self.flat, *ids])
+        self.index.update(zip((x for _, x in raw), range(base, base + len(raw)), strict=True))
+        self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate(flat)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, embeddings, media, packing, pii, simhash, substring, toxicity, warc
+from tidewater.llm import bpe, embeddings, media, packing, pii, quality, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def warc_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.damaged_crawl(spark, _table(spark, sf_dir, "pages")).where("kind = 'gap'").select("path", "offset", "length", "reason")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -84,7 +88,7 @@ SELECT page_id, sha256(html) AS digest, CAST(strlen(html) AS BIGINT) AS raw_leng
        regexp_extract(html, '<html[^>]*? lang="([\w-]+)', 1) AS language, regexp_extract(html, '<meta[^>]*? charset="([\w-]+)', 1) AS charset,
        regexp_extract(html, '<title[^>]*>(.*?)</title>', 1) AS title
 FROM pages
-""".replace("\\\\", "\\")
+"""
 
 OP2_SQL = r"""
 WITH toks AS (
@@ -111,6 +115,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
