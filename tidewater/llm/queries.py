@@ -92,7 +92,7 @@ FROM pages
 
 OP2_SQL = r"""
 WITH toks AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), x -> x <> '') AS t
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS t
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), wins AS (
   SELECT doc_id, p - 1 AS pos, md5(array_to_string(list_slice(t, p, p + 49), ' ')) AS w
