@@ -175,7 +175,7 @@ def _semantic(f: Field, c: Column) -> Column | None:
         return F.when(c.rlike(v4), F.lit(arg == "6")).otherwise(_judge(_ip_ok(int(arg) if arg else None))(rest)) if arg != "4" else ~c.rlike(v4)
     if s == "credit_card":
         digits = F.regexp_replace(c, r"[ \-]", "")
-        return ~(c.rlike(r"\A[0-9][0-9 \-]{10,}[0-9]\z") & F.length(digits).between(12, 19) & F.luhn_check(digits))
+        return ~(c.rlike(r"\A[0-9][0-9 \-]{10,}[0-9]\z") & F.length(digits).between(12, 19) & F.call_function("luhn_check", digits))
     if s == "date":
         return ~c.rlike(r"\A\d{4}-\d{2}-\d{2}\z") | F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNull()
     return None

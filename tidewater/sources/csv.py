@@ -197,7 +197,7 @@ def _raw(spark: SparkSession, path: str, *, delimiter: str, has_header: bool, en
             warnings.warn(f"one column was found; the delimiter may be {other[0]!r}", UserWarning, stacklevel=4)
     private = [f"c{i}" for i in range(len(names))]
     shape = T.StructType([T.StructField(c, T.StringType()) for c in [*private, BAD]])
-    reader = spark.read.schema(shape).options(sep=delimiter, header=has_header, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True, encoding=encoding, maxCharsPerColumn=-1, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    reader = spark.read.schema(shape).options(sep=delimiter, header=has_header, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True, encoding=encoding, maxCharsPerColumn=-1, columnPruning=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = reader.csv(uri(path))
     if encoding_errors == "ignore":
         df = df.select(*[F.translate(quoted(c), "�", "").alias(c) for c in df.columns])
@@ -272,11 +272,12 @@ def read_csv(
     chosen = list(usecols) if usecols is not None else names
     if set(chosen) - set(names):
         raise ValueError(f"read_csv: usecols names no column {', '.join(sorted(set(chosen) - set(names)))}")
-    bad = F.col(BAD).isNotNull()
+    # a second column, which is always long enough, since Spark refuses to read the corrupt record alone
+    bad = F.col(BAD).isNotNull() & (F.coalesce(F.length(quoted(names[0])), F.lit(0)) >= 0)
     if mode == "permissive":
         bad = bad & (F.coalesce(_fields(delimiter)(F.col(BAD)), F.lit(0)) > len(names))
     if on_bad_lines != "skip":
-        wrong = raw.select(quoted(names[0]), F.col(BAD)).where(bad).select(BAD).limit(5).collect()
+        wrong = raw.where(bad).select(BAD).limit(5).collect()
         if wrong and on_bad_lines == "error":
             raise CsvReadError(f"a record doesn't have {len(names)} fields: {wrong[0][0]!r}")
         if wrong:

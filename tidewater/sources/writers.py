@@ -62,7 +62,7 @@ def write_csv(df: DataFrame, path, *, append: bool = False, delimiter: str = ","
     name = Path(path)
     if name.suffix.lower() not in (".csv", ".tsv", ".txt"):
         writer = df.write.mode("append" if append else "overwrite")
-        writer.options(sep=delimiter, header=write_header, quote='"', escape='"', emptyValue="", nullValue="", encoding=encoding).csv(uri(str(path)))
+        writer.options(sep=delimiter, header=write_header, quote='"', escape='"', emptyValue="", nullValue="", encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(uri(str(path)))
         return
     there = append and name.exists() and name.stat().st_size > 0
     if there and write_header:
