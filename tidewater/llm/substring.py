@@ -62,19 +62,19 @@ def _chunk_rows(hashes: list[np.ndarray], ids: list[int], ths: list[int], each:
     h = np.concatenate(hashes)
     docs = np.zeros(len(ids), _DOC)
     docs["id"], docs["th"] = ids, ths
-    # windows in the order of their documents, so that the first of a chunk is the least
+    # windows in the order of their documents, so that the first of a chunk is the least; a repeated row counts once
     starts = np.r_[0, np.cumsum(each)].astype(np.int64)
     rank = np.lexsort((docs["th"], docs["id"]))
+    rank = rank[np.r_[True, docs[rank[1:]] != docs[rank[:-1]]]]
     docs, counts = docs[rank], np.asarray(each, np.int64)[rank]
     docs["start"] = np.r_[0, np.cumsum(counts)[:-1]]
-    h = h[np.repeat(starts[rank] - docs["start"], counts) + np.arange(len(h))]
+    h = h[np.repeat(starts[rank] - docs["start"], counts) + np.arange(counts.sum())]
     order = np.argsort(h, kind="stable")
     sh = h[order]
     new = np.r_[True, sh[1:] != sh[:-1]]
     multi = np.r_[new[:-1] & ~new[1:], False] if len(new) else new
     rest = order[~new]
     sh, order, multi = sh[new], order[new], multi[new]
-    # a window at the same place of two rows with equal id and text is one occurrence; buckets settle that too
     cut = np.searchsorted(bucket_of(sh, buckets), np.arange(buckets + 1))
     size = 3 if len(h) < 1 << 24 else 4
     columns: list[list] = [[], [], [], [], [], []]
@@ -155,13 +155,20 @@ def _hits(rows: pa.Table) -> np.ndarray:
     same = h[1:] == h[:-1]
     take = np.flatnonzero(np.r_[same, False] | np.r_[False, same] | multi[order])
     h, order = h[take], order[take]
-    place, owner = place[order], owner[order]
+    place, owner, multi = place[order], owner[order], multi[order]
     hit = np.zeros(len(take), _HIT)
     by = np.argsort(owner, kind="stable")
     for k, part in zip(*_groups(owner[by], by), strict=True):
         hit["id"][part], hit["th"][part], hit["pos"][part] = _resolve(docs[k], place[part])
     order = np.lexsort((hit["pos"], hit["th"], hit["id"], h))
-    hit, h = hit[order], h[order]
+    hit, h, multi = hit[order], h[order], multi[order]
+    if len(h):
+        # a repeated row that fell into several chunks brings the same occurrence again
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (hit[1:] != hit[:-1])])
+        hit, h, multi = hit[first], h[first], np.logical_or.reduceat(multi, first)
+        same = h[1:] == h[:-1]
+        still = np.r_[same, False] | np.r_[False, same] | multi
+        hit, h = hit[still], h[still]
     hit["kind"] = np.r_[KEEP, np.where(h[1:] == h[:-1], REMOVE, KEEP)] if len(h) else 0
     return np.concatenate([hit, *out])
 
