@@ -3,20 +3,20 @@
 A document's fingerprint has 512 bits: the signs of the sums of its distinct
 word pairs' hash bits. Fingerprints at a Hamming distance of at most
 ``max_distance`` are near copies. Candidates come from the recursion: a strip is
-a random choice of coordinates; a list is filtered to those fingerprints whose
-weight on the strip, after a random shift, is low; strip follows strip until
-the lists are small, and then all pairs of a list are compared. Many strips and
-shifts repeat this until a pair at the wanted distance is met with the target
-recall. The depth follows from the number of fingerprints, counted over all.
-
-Each filter passes a share ``p`` = P(Bin(16, 1/2) <= 3) = 0.0106 of the
-fingerprints, so lists after d strips hold n * p**d of n.
+a random choice of 32 coordinates; a list is filtered to those fingerprints whose
+weight on the strip, after a random shift, is low; each list is filtered again on
+strips and shifts of its own until the lists are small, and then all pairs of a
+list are compared. The weights and the depth follow from the number of
+fingerprints, counted over all, so that a list holds about ``small`` of them;
+the number of strips follows from the chance that a pair at the greatest
+distance passes a filter together, so that it is met with the target recall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ from tidewater.llm._frame import Placed, materialise
 from tidewater.llm.graph import components
 
 BITS, WORDS, BYTES = 512, 8, 64
-STRIP, LOW, SHIFTS = 16, 3, 32
-SHARE = 697 / 65536
-FIRST, DEEPER = 32, 9
+STRIP, SHIFTS, DEEPER, POOL = 32, 32, 4, 64
+#: Greatest weight on the strips of each level, for ever more fingerprints.
+WEIGHTS = ((9,), (8,), (7,), (9, 9), (8, 8), (8, 8, 8), (7, 7, 7))
 _SALTS = tx.mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -72,42 +72,74 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(_prints, "id long, fp binary")
 
 
+def share(low: int) -> float:
+    """Of all fingerprints, those whose weight on a strip is at most ``low``."""
+    return sum(comb(STRIP, i) for i in range(low + 1)) / 2**STRIP
+
+
+@lru_cache(64)
+def chances(low: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """By the number of differing coordinates on the strip: how likely it is, and that both of a pair then pass a filter."""
+    likely, both = [], []
+    for e in range(min(STRIP, distance) + 1):
+        ways = sum(comb(STRIP - e, a) * comb(e, b) for a in range(min(low, STRIP - e) + 1) for b in range(e + 1) if max(a + b, a + e - b) <= low)
+        likely.append(comb(distance, e) * comb(BITS - distance, STRIP - e) / comb(BITS, STRIP))
+        both.append(ways / 2**STRIP)
+    return np.array(likely), np.array(both)
+
+
+def levels_for(n: int, small: int, distance: int, recall: float) -> list[tuple[int, int]]:
+    """(greatest weight, strips) of each level, for n fingerprints."""
+    weights = next((w for w in WEIGHTS if n * np.prod([share(x) for x in w]) <= small), WEIGHTS[-1])
+    met = 1.0
+    for low in reversed(weights[1:]):
+        likely, both = chances(low, distance)
+        met = 1 - float((likely * (1 - both * met) ** SHIFTS).sum()) ** DEEPER
+    likely, both = chances(weights[0], distance)
+    miss = float((likely * (1 - both * met) ** SHIFTS).sum())
+    return [(weights[0], ceil(log(1 - recall) / log(miss))), *((w, DEEPER) for w in weights[1:])]
+
+
 @lru_cache(64)
-def _strips(seed: int, level: int, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Coordinates, and for each value on them the set of shifts under which its weight is low."""
+def _strips(seed: int, level: int, count: int) -> np.ndarray:
     rng = np.random.default_rng([seed, level])
-    values, out = np.arange(1 << STRIP, dtype=np.uint16), []
-    for _ in range(count):
-        coords = rng.choice(BITS, STRIP, replace=False)
-        passes = np.zeros(1 << STRIP, np.uint32)
-        for s, z in enumerate(rng.integers(0, 1 << STRIP, SHIFTS, dtype=np.uint16)):
-            passes |= (np.bitwise_count(values ^ z) <= LOW).astype(np.uint32) << np.uint32(s)
-        out.append((coords, passes))
-    return out
+    return np.array([rng.choice(BITS, STRIP, replace=False) for _ in range(count)])
 
 
-def lists_of(bits: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def lists_of(bits: np.ndarray, levels: list[tuple[int, int]], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) for each small list that the recursion puts a row in."""
-    rows, keys = np.arange(len(bits)), np.zeros(len(bits), np.int64)
-    for level in range(depth):
-        strips, new_rows, new_keys = _strips(seed, level, FIRST if level == 0 else DEEPER), [], []
-        for s, (coords, passes) in enumerate(strips):
-            value = np.ascontiguousarray(np.packbits(bits[:, coords], axis=1)).view(np.uint16).ravel()
-            mask = np.unpackbits(passes[value].view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[rows]
-            which, shift = np.nonzero(mask)
+    rows, keys = np.arange(len(bits)), np.zeros(len(bits), np.uint64)
+    for level, (low, count) in enumerate(levels):
+        strips, new_rows, new_keys = _strips(seed, level, POOL if level else count), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+        def values(coords: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(np.packbits(bits[:, coords], axis=1)).view(np.uint32).ravel()
+
+        pool = np.stack([values(c) for c in strips]) if level else None
+        for s in range(count):
+            tag = np.arange(1, SHIFTS + 1, dtype=np.uint64) + np.uint64(SHIFTS * (s + (level << 20)) + (seed << 40))
+            if level:
+                own = tx.mix(keys + np.uint64(s))
+                value = pool[(own % np.uint64(POOL)).astype(np.int64), rows]
+                tag = tx.mix(own[:, None] + tag[None, :])
+            else:
+                value, tag = values(strips[s]), tx.mix(tag)[None, :]
+            which, shift = np.nonzero(np.bitwise_count(value[:, None] ^ (tag >> np.uint64(32)).astype(np.uint32)) <= low)
             new_rows.append(rows[which])
-            new_keys.append(keys[which] * 1024 + s * SHIFTS + shift)
+            new_keys.append(tag[which if level else 0, shift])
         rows, keys = np.concatenate(new_rows), np.concatenate(new_keys)
-    return rows, keys
+    return rows, keys.view(np.int64)
+
 
+def _scatter(levels: list[tuple[int, int]], seed: int):
+    step = 2048 if len(levels) == 1 else 256
 
-def _scatter(depth: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, len(whole), 2048):
-                batch = whole.slice(start, 2048)
+            for start in range(0, len(whole), step):
+                batch = whole.slice(start, step)
                 fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BYTES)
-                rows, keys = lists_of(np.unpackbits(fp, axis=1), depth, seed)
+                rows, keys = lists_of(np.unpackbits(fp, axis=1), levels, seed)
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(take), batch.column(1).take(take)], ["key", "id", "fp"])
 
@@ -157,14 +189,7 @@ def _stars(max_distance: int):
     return run
 
 
-def depth_for(n: int, small: int) -> int:
-    depth = 1
-    while n * SHARE**depth > small and depth < 6:
-        depth += 1
-    return depth
-
-
-def near_edges(prints: DataFrame, max_distance: int = 120, small: int = 4096, seed: int = 7) -> DataFrame:
+def near_edges(prints: DataFrame, max_distance: int = 120, small: int = 4096, recall: float = 0.9, seed: int = 7) -> DataFrame:
     """Edges (u, v) that join the near copies among ``prints`` (id, fp).
 
     Equal fingerprints are joined by grouping, and only the least id of each
@@ -175,21 +200,22 @@ def near_edges(prints: DataFrame, max_distance: int = 120, small: int = 4096, se
     one = prints.groupBy("fp").agg(F.min("id").alias("id"))
     same = prints.join(one.select("fp", F.col("id").alias("v")), "fp").select(F.col("id").alias("u"), "v").where("u <> v")
     n = one.count()
-    spread = one.select("id", "fp").mapInArrow(_scatter(depth_for(n, small), seed), "key long, id long, fp binary")
+    spread = one.select("id", "fp").mapInArrow(_scatter(levels_for(n, small, max_distance, recall), seed), "key long, id long, fp binary")
     found = spread.groupBy("key").applyInArrow(_stars(max_distance), "u long, v long")
     return found.union(same)
 
 
-def near_copies(docs: DataFrame, max_distance: int = 120, small: int = 4096, seed: int = 7) -> DataFrame:
+def near_copies(docs: DataFrame, max_distance: int = 120, small: int = 4096, recall: float = 0.9, seed: int = 7) -> DataFrame:
     """(doc_id, kept_doc_id): each document that has a near copy of lesser id, and the least id of its group.
 
     Groups are the connected components of pairs at most ``max_distance`` of 512
-    bits apart. Texts that are null or without a word, and rows without an id,
+    bits apart; a pair at that very distance is met with the chance ``recall``,
+    nearer ones more surely. Texts that are null or without a word, and rows without an id,
     are in no group. Rows that share a doc_id are one document, joined to what
     any of them resembles. An empty table gives no rows. Extra columns are not
     looked at.
     """
-    return components(near_edges(fingerprints(docs), max_distance, small, seed)).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    return components(near_edges(fingerprints(docs), max_distance, small, recall, seed)).select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 
 def drop_near_copies(docs: DataFrame, **parameters) -> DataFrame:
