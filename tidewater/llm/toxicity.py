@@ -27,6 +27,7 @@ FACTORS = 8
 MAX_TRAIN = 8000
 TERMS = 2000
 LEAST_CHI = 12.0
+FOLDS = 3
 #: Bytes of the beginnings of words that are terms too, so that inflected forms share weights.
 STEMS = (5, 6, 7, 8)
 
@@ -103,31 +104,44 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.1, l2: float = 5e-4, terms: int = TERMS, seed: int = 3) -> Machine:
-    """AdaGrad on the logistic loss; a fifth of the rows is held out to set the threshold.
+    """AdaGrad on the logistic loss, over all rows.
 
-    The threshold is the least score above which at least 98 of 100 held-out
-    rows are toxic. Without rows of both classes nothing is ever rejected.
+    The threshold is the least score above which at most one row and 2 of 100
+    are clean, each row scored by a model that didn't see its fold.
+    Without rows of both classes nothing is ever rejected.
     """
     rng = np.random.default_rng(seed)
     own = distinct_rows(rows)
     rows, y = [rows[i] for i in own], np.asarray(y, np.float64)[own]
     if not len(y) or y.min() == y.max():
         return Machine(0.0, np.zeros(SLOTS, np.int32), np.zeros(1), np.zeros((1, FACTORS)), np.inf)
-    order = rng.permutation(len(y))
-    held, fit = order[: len(y) // 5], order[len(y) // 5 :]
+    fold = rng.permutation(len(y)) % FOLDS
+    scores = np.zeros(len(y))
+    for k in range(FOLDS):
+        held = np.flatnonzero(fold == k)
+        scores[held] = descend(rows, y, np.flatnonzero(fold != k), epochs, rate, l2, terms, rng).scores([rows[i] for i in held])
+    out = descend(rows, y, np.arange(len(y)), epochs, rate, l2, terms, rng)
+    out.threshold = pick_threshold(scores, y)
+    return out
+
+
+def descend(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, epochs: int, rate: float, l2: float, terms: int, rng: np.random.Generator) -> Machine:
+    """A machine trained on the rows ``fit``."""
     chosen = choose_terms([rows[i] for i in fit], y[fit], terms)
     index = np.zeros(SLOTS, np.int32)
     index[chosen] = np.arange(1, len(chosen) + 1)
     w, v = np.zeros(len(chosen) + 1), rng.normal(0, 0.05, (len(chosen) + 1, FACTORS))
     v[0] = 0
-    share = y[fit].mean()
+    share = y[fit].mean() if len(fit) else 0.0
     bias = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    at = [index[r][index[r] > 0] for r in rows]
+    at = {i: index[rows[i]][index[rows[i]] > 0] for i in fit.tolist()}
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
+            if not len(batch):
+                continue
             dw, dv, db = np.zeros_like(w), np.zeros_like(v), 0.0
-            for i in batch:
+            for i in batch.tolist():
                 a = at[i]
                 va = v[a]
                 total = va.sum(0)
@@ -145,16 +159,14 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float =
             v -= rate * dv / np.sqrt(gv)
             bias -= rate * db / np.sqrt(gb)
         w[0], v[0] = 0, 0
-    out = Machine(float(bias), index, w, v)
-    out.threshold = pick_threshold(out.scores([rows[i] for i in held]), y[held])
-    return out
+    return Machine(float(bias), index, w, v)
 
 
-def pick_threshold(scores: np.ndarray, y: np.ndarray, precision: float = 0.98, floor: float = -1.5) -> float:
-    """The least score, at least ``floor``, such that the rows above it are toxic at that precision; halfway to the next row below."""
+def pick_threshold(scores: np.ndarray, y: np.ndarray, wrong: float = 0.02, floor: float = -1.5) -> float:
+    """The least score, at least ``floor``, such that at most one row, and that share, of those above it are clean; halfway to the next row below."""
     order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero((right >= precision) & (scores[order] > floor))
+    clean = np.cumsum(1 - y[order])
+    good = np.flatnonzero((clean <= 1 + wrong * np.arange(1, len(y) + 1)) & (y[order] == 1) & (scores[order] > floor))
     if not len(good):
         return max(floor, float(scores.max(initial=floor)))
     k = good[-1]
