@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import _text as tx
@@ -79,6 +79,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], ["key", "n"])
 
 
+def _discount(k: int, d: Column) -> Column:
+    """A discount within 0 and k; its usual size where counts of counts don't give one (``greatest`` and ``least`` skip nulls)."""
+    return F.when(d.isNull(), k / 2).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(k)), d)))
+
+
 def kneser_ney(table: DataFrame) -> DataFrame:
     """(key, logp) of every 5-gram of ``table`` (key, n: count in trusted text, 0 for those not in it).
 
@@ -99,9 +104,9 @@ def kneser_ney(table: DataFrame) -> DataFrame:
         n1, n2, n3, n4 = (F.count_if(F.col("c") == k).cast("double") for k in (1, 2, 3, 4))
         y = F.try_divide(n1, n1 + 2 * n2)
         d = rows.groupBy("lang").agg(
-            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 2 * y * F.try_divide(n2, n1))), F.lit(0.5)).alias("d1"),
-            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 2 - 3 * y * F.try_divide(n3, n2))), F.lit(1.0)).alias("d2"),
-            F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(3.0), 3 - 4 * y * F.try_divide(n4, n3))), F.lit(1.5)).alias("d3"),
+            _discount(1, 1 - 2 * y * F.try_divide(n2, n1)).alias("d1"),
+            _discount(2, 2 - 3 * y * F.try_divide(n3, n2)).alias("d2"),
+            _discount(3, 3 - 4 * y * F.try_divide(n4, n3)).alias("d3"),
         )
         cut = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.join(broadcast_if(d, 10_000), "lang").withColumn("cut", cut)
