@@ -162,6 +162,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int | None =
     apart = centre_rows.alias("p").crossJoin(F.broadcast(centre_rows).alias("q")).where("p.dim = q.dim and p.cell <= q.cell")
     dot = F.aggregate(F.zip_with("p.centre", "q.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = apart.select(F.col("p.dim").alias("dim"), F.col("p.cell").alias("cell_a"), F.col("q.cell").alias("cell_b"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))).alias("gap"))
+    # lengths without a pivot are one cell each
+    bare = cells.where(~F.col("dim").isin([len(c) for c in centres])) if centres else cells
+    zero = F.lit(0).cast("int")
+    apart = apart.union(bare.select("dim", zero.alias("cell_a"), zero.alias("cell_b"), F.lit(0.0).alias("gap")).distinct())
     left = tiles.select("dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("radius").alias("radius_a"))
     right = tiles.select("dim", F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("radius").alias("radius_b"))
     reach = float(np.arccos(threshold)) + 1e-6
