@@ -4,7 +4,8 @@ Tokens are maximal runs of bytes that aren't ASCII white space. A map task
 hashes every window of ``width`` tokens of its documents and sorts them by hash;
 each hash range (bucket) of a chunk becomes one row of packed bytes: hash
 differences of 6 bytes, window numbers of 3 or 4, and which documents they are in.
-So a window costs about 9 bytes of shuffle. Windows that repeat inside a chunk
+So a window costs about 9 bytes of shuffle. The number of buckets follows from the
+bytes of all texts, which are summed first, and chunks grow with it. Windows that repeat inside a chunk
 travel once (map-side combine), which bounds the rows of a hot window by the
 number of chunks. Each bucket counts its windows and gives back those that
 occur more than once; per document they merge into maximal intervals.
@@ -26,7 +27,8 @@ from tidewater.llm import _text as tx
 from tidewater.llm._frame import Placed
 
 WIDTH = 50
-CHUNK = 2_000_000
+#: Windows of a chunk at least; bytes of text of a bucket; windows of a chunk for each bucket; most buckets.
+CHUNK, BUCKET_BYTES, PER_BUCKET, MAX_BUCKETS = 2_000_000, 10 << 20, 64, 250_000
 PACKED = "bucket int, hashes binary, places binary, multi binary, docs binary, rest binary"
 KEEP, REMOVE = 0, 1
 _DOC = np.dtype([("id", "<i8"), ("th", "<i8"), ("start", "<i8")])
@@ -222,8 +224,10 @@ def _merge(width: int):
 def _found(docs: DataFrame, width: int, buckets: int | None) -> DataFrame:
     p = Placed(docs, "doc_id", "text")
     plain = p.only().select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null and text is not null")
-    buckets = buckets or max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = plain.mapInArrow(_map(width, buckets, CHUNK), PACKED)
+    if buckets is None:
+        size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(max(32, size // BUCKET_BYTES), MAX_BUCKETS)
+    packed = plain.mapInArrow(_map(width, buckets, max(CHUNK, PER_BUCKET * buckets)), PACKED)
     hits = packed.groupBy("bucket").applyInArrow(_reduce, "doc_id long, th long, codes binary")
     lists = hits.groupBy("doc_id", "th").agg(F.collect_list("codes").alias("codes"))
     return lists.mapInArrow(_merge(width), "doc_id long, th long, start_token long, end_token long, action string")
