@@ -216,7 +216,7 @@ def histograms(df: DataFrame, ranges: dict[str, tuple[float, float]], fences: di
     for c, (lo, hi) in ranges.items():
         x = F.when(F.abs(quoted(c).cast("double")) < float("inf"), quoted(c).cast("double"))
         step = (hi - lo) / BINS
-        at = F.least(F.lit(BINS - 1), F.floor((x - lo) / step).cast("int"))
+        at = F.when(x.isNotNull(), F.least(F.lit(BINS - 1), F.floor((x - lo) / step).cast("int")))  # ``least`` skips nulls
         exprs += [F.count_if(at == k) for k in range(BINS)]
         f = (fences or {}).get(c)
         exprs.append(F.count_if((x < f[0]) | (x > f[1])) if f else F.lit(0).cast("long") + F.count(F.lit(1)) * 0)

@@ -171,6 +171,25 @@ def _skipped(path: str, n: int, encoding: str) -> str:
     return out
 
 
+#: Python's names of the encodings that Spark reads by itself, and Spark's.
+_CHARSETS = {"utf-8": "utf-8", "utf-8-sig": "utf-8", "iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf-16": "utf-16", "utf-16-be": "utf-16be", "utf-16-le": "utf-16le", "utf-32": "utf-32"}
+
+
+def _readable(path: str, encoding: str) -> tuple[str, str]:
+    """A path and a charset that Spark reads: the file's own, or of a copy in UTF-8."""
+    charset = _CHARSETS.get(codecs.lookup(encoding).name)
+    if charset:
+        return path, charset
+    name = local(path)
+    if name is None:
+        raise ValueError(f"the encoding {encoding} needs a local file")
+    handle, out = tempfile.mkstemp(dir=scratch(), suffix=".csv")
+    with _open(name, encoding, "strict") as f, os.fdopen(handle, "w", encoding="utf-8", newline="") as g:
+        while part := f.read(1 << 20):
+            g.write(part)
+    return out, "utf-8"
+
+
 def _fields(delimiter: str):
     @F.pandas_udf("int")
     def count(s: pd.Series) -> pd.Series:
@@ -181,6 +200,7 @@ def _fields(delimiter: str):
 
 def _raw(spark: SparkSession, path: str, *, delimiter: str, has_header: bool, encoding: str, trim_headers: bool, multiline: bool, encoding_errors: str) -> tuple[DataFrame, list[str]]:
     """Text columns plus ``BAD``, the raw text of records with another number of fields."""
+    path, encoding = _readable(path, encoding)
     head = _beginning(spark, path, encoding, 1 << 20)
     if not head.strip():
         raise CsvReadError(f"{path} is empty")
