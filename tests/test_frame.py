@@ -362,6 +362,18 @@ def test_csv_options(spark, tmp_path):
         list(tw.read_csv_chunked(write(tmp_path / "m.csv", "a\n1\nx\n"), chunksize=1, delimiter=",", spark=spark))
 
 
+def test_handles_reach_the_shared_folder(spark, tmp_path, monkeypatch):
+    import io
+
+    from tidewater.sources import remote
+
+    monkeypatch.setattr(remote, "shared_root", lambda: f"file://{tmp_path}")
+    assert rows(tw.read_csv(io.StringIO("a,b\n1,x\n"), spark=spark)) == [(1, "x")]
+    assert any(p.name.startswith("tidewater-scratch-") for p in tmp_path.iterdir())
+    with pytest.raises(tw.RemoteReadError):
+        tw.read_csv("http://127.0.0.1:9/x.csv", spark=spark)
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.text(st.characters(blacklist_categories=["Cs", "Cc"]), max_size=8), st.integers(-(10**6), 10**6)), min_size=1, max_size=6))
 def test_csv_round_trip(spark, tmp_path, data):

@@ -8,9 +8,12 @@ import shutil
 import tempfile
 import urllib.error
 import urllib.request
+import uuid
 from pathlib import Path
 from urllib.parse import urlsplit
 
+from pyspark.sql import SparkSession
+
 from tidewater.errors import RemoteReadError
 
 MAX_BYTES = 500 << 20
@@ -23,7 +26,7 @@ class _Stay(urllib.request.HTTPRedirectHandler):
 
 
 def scratch() -> str:
-    """A folder of the driver's for downloads and handles, gone when Python ends."""
+    """A folder of the driver's for downloads and handles, gone when Python ends; ``uri`` gives executors a copy."""
     folder = getattr(scratch, "folder", None)
     if folder is None:
         folder = scratch.folder = tempfile.mkdtemp(prefix="tidewater-source-")
@@ -73,5 +76,27 @@ def local(path: str) -> str | None:
     return path if "://" not in path and os.path.isfile(path) else None
 
 
+def shared_root() -> str | None:
+    """The folder that a cluster's executors share, or None where the session names none."""
+    spark = SparkSession.getActiveSession()
+    return spark.conf.get("spark.checkpoint.dir", None) if spark else None
+
+
+_published: dict[str, str] = {}
+
+
 def uri(path: str) -> str:
-    return path if "://" in path else "file://" + os.path.abspath(path)
+    """A path as executors see it. What lies in the driver's scratch folder is copied to the shared one first, if there is one."""
+    if "://" in path:
+        return path
+    full = os.path.abspath(path)
+    own, root = getattr(scratch, "folder", None), shared_root()
+    if not (own and root and full.startswith(own + os.sep)):
+        return "file://" + full
+    if full not in _published:
+        spark = SparkSession.getActiveSession()
+        target = f"{root.rstrip('/')}/tidewater-scratch-{uuid.uuid4().hex}{''.join(Path(full).suffixes[-2:])}"
+        to = spark._jvm.org.apache.hadoop.fs.Path(target)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path("file://" + full), to)
+        _published[full] = target
+    return _published[full]
