@@ -135,23 +135,24 @@ def descend(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, epochs: int,
     share = y[fit].mean() if len(fit) else 0.0
     bias = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    at = {i: index[rows[i]][index[rows[i]] > 0] for i in fit.tolist()}
+    at = [index[rows[i]][index[rows[i]] > 0] for i in fit.tolist()]
+    sizes = np.array([len(a) for a in at], np.int64)
+    flat, begin, labels = np.concatenate([*at, np.zeros(0, np.int32)]), np.r_[0, np.cumsum(sizes)], y[fit]
     for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
+        for batch in np.array_split(rng.permutation(len(fit)), max(1, len(fit) // 64)):
             if not len(batch):
                 continue
-            dw, dv, db = np.zeros_like(w), np.zeros_like(v), 0.0
-            for i in batch.tolist():
-                a = at[i]
-                va = v[a]
-                total = va.sum(0)
-                s = bias + w[a].sum() + 0.5 * (total @ total - (va * va).sum())
-                g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[i]
-                dw[a] += g
-                dv[a] += g * (total - va)
-                db += g
-            n = len(batch)
-            dw, dv, db = dw / n + l2 * w, dv / n + l2 * v, db / n
+            n, row = len(batch), np.repeat(np.arange(len(batch)), sizes[batch])
+            first = np.cumsum(sizes[batch]) - sizes[batch]
+            a = flat[np.arange(len(row)) - first[row] + begin[batch][row]]
+            va = v[a]
+            total = np.stack([np.bincount(row, va[:, f], n) for f in range(FACTORS)], 1)
+            s = bias + np.bincount(row, w[a], n) + 0.5 * ((total * total).sum(1) - np.bincount(row, (va * va).sum(1), n))
+            g = 1 / (1 + np.exp(-np.clip(s, -30, 30))) - labels[batch]
+            dw = np.bincount(a, g[row], len(w))
+            each = g[row, None] * (total[row] - va)
+            dv = np.stack([np.bincount(a, each[:, f], len(w)) for f in range(FACTORS)], 1)
+            dw, dv, db = dw / n + l2 * w, dv / n + l2 * v, g.sum() / n
             gw += dw * dw
             gv += dv * dv
             gb += db * db
