@@ -29,6 +29,38 @@ def test_learns_an_interaction():
     assert pair > 0.5
 
 
+def rare_pair(seed: int, n: int):
+    """Rows of which 11 % are toxic for terms of their own, and those where terms 1 (8 %) and 2 (5 %) meet; which rows only the pair makes toxic."""
+    rng = np.random.default_rng(seed)
+    rows, y, pair = [], [], []
+    for _ in range(n):
+        other, a, b = rng.random() < 0.11, rng.random() < 0.08, rng.random() < 0.05
+        rows.append(np.unique(np.r_[rng.integers(1000, 3000, 20), rng.integers(3000, 200_000, 30), rng.integers(10, 40, 3 * other), [1] * a, [2] * b].astype(np.int64)))
+        y.append(int(other or (a and b)))
+        pair.append(a and b and not other)
+    return rows, np.array(y), np.array(pair, bool)
+
+
+def test_a_pair_counts_though_its_terms_alone_do_not():
+    for seed in range(3):
+        rows, y, _ = rare_pair(seed, 4000)
+        assert not {1, 2} <= set(toxicity.choose_terms(rows, y, toxicity.TERMS).tolist())
+        left, right = toxicity.choose_pairs(rows, y)
+        assert {frozenset(p) for p in zip(left.tolist(), right.tolist())} == {frozenset((1, 2))}
+        m = toxicity.train(rows, y)
+        held, label, pair = rare_pair(100 + seed, 4000)
+        got = m.scores(held) > m.threshold
+        assert pair.any() and got[pair].mean() >= 0.9 and got[label == 0].mean() <= 0.005
+
+
+def test_pairs_of_every_block_are_counted(monkeypatch):
+    rows, y, _ = rare_pair(5, 3000)
+    want = {frozenset(p) for p in zip(*(x.tolist() for x in toxicity.choose_pairs(rows, y)), strict=True)}
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 7)
+    assert {frozenset(p) for p in zip(*(x.tolist() for x in toxicity.choose_pairs(rows, y)), strict=True)} == want == {frozenset((1, 2))}
+    assert not len(toxicity.choose_pairs(rows, np.zeros(3000))[0]) and not len(toxicity.choose_pairs([], np.zeros(0))[0])
+
+
 def test_held_out_accuracy(spark):
     """Trained on the even labelled documents, judged on the odd ones."""
     path = "/root/testdata/sf0.1"

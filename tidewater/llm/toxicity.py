@@ -2,7 +2,8 @@
 
 score(x) = bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the distinct
 hashed words and word beginnings of a document. The pairwise part learns what an additive model
-can't, such as an insult that counts only beside the mention of a group.
+can't, such as an insult that counts only beside the mention of a group. Terms
+enter for what they tell alone or for what a pair of them tells together.
 Training uses a bounded sample of labelled documents (``max_train``, the least
 hashes of doc_id); scoring covers every document whole. The model has a fixed
 size, so broadcasting it doesn't grow with the data.
@@ -27,6 +28,9 @@ FACTORS = 8
 MAX_TRAIN = 8000
 TERMS = 2000
 LEAST_CHI = 12.0
+#: Toxic rows in which the two terms of a pair meet, at least. Fewer can't be told from chance.
+LEAST_PAIR = 8
+PAIR_BLOCK = 1024
 FOLDS = 3
 #: Bytes of the beginnings of words that are terms too, so that inflected forms share weights.
 STEMS = (5, 6, 7, 8)
@@ -103,6 +107,66 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
     return np.sort(top[chi[top] >= LEAST_CHI])
 
 
+def _excess(d: np.ndarray, c: np.ndarray, q: np.ndarray | float) -> np.ndarray:
+    """Chernoff's bound on the chance of d or more toxic rows among c at the rate q, as a negative logarithm; 0 up to that rate."""
+    q = np.clip(q, 1e-9, 1 - 1e-9)
+    f = np.clip(d / c, 1e-9, 1 - 1e-9)
+    return np.where(d > q * c, d * np.log(f / q) + (c - d) * np.log((1 - f) / (1 - q)), 0.0)
+
+
+def choose_pairs(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays: the terms of each pair that is toxic where both meet, however little either tells alone.
+
+    All pairs of terms that occur in ``LEAST_PAIR`` toxic rows are counted. A
+    pair counts if chance would give any pair so many toxic rows at most once in
+    20 samples, and if they exceed by ``LEAST_CHI`` what the two terms give when
+    their odds are multiplied, and what the more toxic one gives alone.
+    """
+    y = np.asarray(y) > 0
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n, toxic = len(y), int(y.sum())
+    if not 0 < toxic < n:
+        return none
+    rows = [rows[i] for i in np.argsort(~y, kind="stable")]
+    df, dp = (np.bincount(np.concatenate(r), minlength=SLOTS) for r in (rows, rows[:toxic]))
+    terms = np.flatnonzero(dp >= LEAST_PAIR)
+    terms = terms[np.argsort(-dp[terms], kind="stable")]
+    if len(terms) < 2:
+        return none
+    at = np.full(SLOTS, -1)
+    at[terms] = np.arange(len(terms))
+    bits = np.zeros((len(terms), (n + 7) // 8), np.uint8)
+    for i, r in enumerate(rows):
+        known = at[r]
+        bits[known[known >= 0], i >> 3] |= 128 >> (i & 7)
+    share, need = toxic / n, np.log(len(terms) * (len(terms) - 1) / 2) + np.log(20)
+    rate = (dp[terms] + share) / (df[terms] + 1)
+    odds = np.log(rate / (1 - rate)) - np.log(share / (1 - share))
+    starts = range(0, len(terms), PAIR_BLOCK)
+    block = lambda k: np.unpackbits(bits[k : k + PAIR_BLOCK], axis=1, count=n).astype(np.float32)
+    found = [none]
+    for a in starts:
+        left = block(a)
+        for b in starts[a // PAIR_BLOCK :]:
+            right = left if a == b else block(b)
+            both = left[:, :toxic] @ right[:, :toxic].T
+            enough = both * -np.log(share) >= need
+            if a == b:
+                enough = np.triu(enough, 1)
+            if not enough.any():
+                continue
+            i, j = np.nonzero(enough)
+            d = both[i, j].astype(np.float64)
+            c = d + (left[:, toxic:] @ right[:, toxic:].T)[i, j]
+            i, j = i + a, j + b
+            sure = _excess(d, c, share) >= need
+            i, j, d, c = i[sure], j[sure], d[sure], c[sure]
+            alone = np.maximum(1 / (1 + np.exp(-odds[i] - odds[j]) * (1 - share) / share), np.maximum(rate[i], rate[j]))
+            good = 2 * _excess(d, c, alone) >= LEAST_CHI
+            found.append((terms[i[good]], terms[j[good]]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float = 0.1, l2: float = 5e-4, terms: int = TERMS, seed: int = 3) -> Machine:
     """AdaGrad on the logistic loss, over all rows.
 
@@ -127,7 +191,9 @@ def train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 30, rate: float =
 
 def descend(rows: list[np.ndarray], y: np.ndarray, fit: np.ndarray, epochs: int, rate: float, l2: float, terms: int, rng: np.random.Generator) -> Machine:
     """A machine trained on the rows ``fit``."""
-    chosen = choose_terms([rows[i] for i in fit], y[fit], terms)
+    own = [rows[i] for i in fit]
+    left, right = choose_pairs(own, y[fit])
+    chosen = np.union1d(choose_terms(own, y[fit], terms), np.r_[left, right])
     index = np.zeros(SLOTS, np.int32)
     index[chosen] = np.arange(1, len(chosen) + 1)
     w, v = np.zeros(len(chosen) + 1), rng.normal(0, 0.05, (len(chosen) + 1, FACTORS))
