@@ -77,6 +77,36 @@ def test_junk_truncation_and_lost_beginning(zipped):
     assert [x.kind for x in read(b"nothing here")] == ["gap"]
 
 
+def payloads(data: bytes) -> list[bytes]:
+    found = read(data)
+    assert covers(found, len(data))
+    return [x.payload for x in found if x.kind == "record"]
+
+
+def test_plain_file_whose_damaged_start_holds_a_gzip_stream():
+    parts = [make(0, squeeze(b"a web page")), *(make(k, b) for k, b in enumerate(BODIES))]
+    for start in (b"XXXXX" + parts[0][5:], parts[0][5:]):
+        assert payloads(start + b"".join(parts[1:])) == BODIES
+
+
+@pytest.mark.parametrize("junk", [b"", b"junk", b"\x1f\x8b\x08WARC/1.0\r\n"])
+def test_members_and_plain_records_in_one_file(junk):
+    for first in (0, 1):
+        parts = [squeeze(make(k, b)) if k % 2 == first else make(k, b) for k, b in enumerate(BODIES)]
+        assert payloads(junk.join([b"", *parts])) == BODIES
+
+
+def test_several_records_in_a_member():
+    parts = [make(k, b) for k, b in enumerate(BODIES)]
+    data = squeeze(b"".join(parts[:4])) + squeeze(parts[4]) + squeeze(parts[5])
+    assert payloads(data) == BODIES
+    for hurt in range(3):
+        bad = [p[:-9] + b"?" + p[-8:] if k == hurt else p for k, p in enumerate(parts[:3])]
+        data = squeeze(b"".join(bad)) + squeeze(parts[3])
+        assert payloads(data) == [b for k, b in enumerate(BODIES[:4]) if k != hurt]
+        assert [x.reason for x in read(data) if x.kind == "gap"] == ["in a member: block digest differs"]
+
+
 def test_tables(spark, tiny, tmp_path):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     files = warc.write_warc(pages, f"file://{tmp_path}/w")

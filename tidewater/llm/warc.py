@@ -5,8 +5,8 @@ Every record must pass its checks: the member inflates and its CRC holds, the
 version line and Content-Length are there, the block is whole, the closing blank
 lines follow, and the block digest, where given, agrees. After a failed check
 the reader searches for the next place where a valid record begins - a gzip
-magic or a version line that passes all the checks - and logs the bytes between
-as a quarantined gap. Files are read in bounded blocks; one file is one unit of
+magic or a version line, whichever is nearer and passes all the checks - and
+logs the bytes between as a quarantined gap. A member may hold several records. Files are read in bounded blocks; one file is one unit of
 work, and files spread over the tasks.
 """
 
@@ -113,24 +113,45 @@ def check_digest(headers: dict[str, str], block: bytes) -> None:
             raise Bad("block digest differs")
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of a whole record."""
-    end = data.find(b"\r\n\r\n", 0, MAX_HEADER)
+def parse_record(data: bytes, at: int = 0) -> tuple[int, dict[str, str], bytes]:
+    """End, headers and block of the whole record at a place."""
+    end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
     if end < 0:
         raise Bad("no end of headers")
-    headers = parse_headers(data[:end])
+    headers = parse_headers(data[at:end])
     n = content_length(headers)
     block = data[end + 4 : end + 4 + n]
     if len(block) < n:
         raise Bad("truncated block")
-    if data[end + 4 + n :] != b"\r\n\r\n":
+    if data[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
         raise Bad("no closing blank lines")
     check_digest(headers, block)
-    return headers, block
+    return end + 8 + n, headers, block
 
 
-def gzip_record(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
-    """End of the member at a place, and its record."""
+def member_records(data: bytes) -> list[tuple[dict[str, str], bytes] | str]:
+    """The records of an inflated member until its bytes end; between them, the reason where bytes were skipped."""
+    k, out, bad = 0, [], None
+    while k < len(data) or not out:
+        try:
+            k, headers, block = parse_record(data, k)
+        except Bad as error:
+            if bad is None:
+                bad = str(error)
+                out.append(bad)
+            k = data.find(VERSION, k + 1)
+            if k < 0:
+                break
+        else:
+            bad = None
+            out.append((headers, block))
+    if all(isinstance(x, str) for x in out):
+        raise Bad(out[0])
+    return out
+
+
+def gzip_records(source: Source, at: int) -> tuple[int, list[tuple[dict[str, str], bytes] | str]]:
+    """End of the member at a place, and what it holds."""
     if source.get(at, 3) != MAGIC:
         raise Bad("no gzip magic")
     inflate, out, total, pos = zlib.decompressobj(31), [], 0, at
@@ -148,37 +169,48 @@ def gzip_record(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
         if total > MAX_RECORD:
             raise Bad("record too long")
         pos += len(part)
-    return pos - len(inflate.unused_data), *parse_record(b"".join(out))
+    return pos - len(inflate.unused_data), member_records(b"".join(out))
 
 
-def plain_record(source: Source, at: int) -> tuple[int, dict[str, str], bytes]:
+def plain_record(source: Source, at: int) -> tuple[int, list[tuple[dict[str, str], bytes]]]:
     head = source.get(at, MAX_HEADER)
     end = head.find(b"\r\n\r\n")
     if end < 0:
         raise Bad("no version line" if not head.startswith(VERSION) else "no end of headers")
     n = content_length(parse_headers(head[:end]))
-    headers, block = parse_record(source.get(at, end + 4 + n + 4))
-    return at + end + 4 + n + 4, headers, block
+    _, headers, block = parse_record(source.get(at, end + 4 + n + 4))
+    return at + end + 4 + n + 4, [(headers, block)]
 
 
 def salvage(source: Source) -> Iterator[Found]:
-    """Records and gaps of a file, in order; together they cover every byte."""
-    gz = source.get(0, 2) == MAGIC[:2] or (source.get(0, 5) != VERSION[:5] and source.find(MAGIC, 0) < source.find(VERSION, 0))
-    read, sign = (gzip_record, MAGIC) if gz else (plain_record, VERSION)
+    """Records and gaps of a file, in order; together they cover every byte.
+
+    Members and plain records may follow each other in any order. Of several
+    records in a member the first has the member's length, the others 0, as has
+    a gap inside a member that holds a valid record.
+    """
     at, bad_from, reason = 0, None, None
+    signs = {MAGIC: -1, VERSION: -1}
     while at < source.size:
         try:
-            end, headers, block = read(source, at)
+            end, records = (gzip_records if source.get(at, 2) == MAGIC[:2] else plain_record)(source, at)
         except Bad as error:
             if bad_from is None:
                 bad_from, reason = at, str(error)
-            at = source.find(sign, at + 1)
+            for sign, place in signs.items():
+                if place <= at:
+                    signs[sign] = source.find(sign, at + 1)
+            at = min(signs.values())
             continue
         if bad_from is not None:
             yield Found("gap", bad_from, at - bad_from, reason=reason)
             bad_from = None
-        yield Found("record", at, end - at, headers, block)
-        at = end
+        for x in records:
+            if isinstance(x, str):
+                yield Found("gap", at, 0, reason=f"in a member: {x}")
+            else:
+                yield Found("record", at, end - at, *x)
+                at = end
     if bad_from is not None:
         yield Found("gap", bad_from, source.size - bad_from, reason=reason)
 
