@@ -107,6 +107,17 @@ def test_several_records_in_a_member():
         assert [x.reason for x in read(data) if x.kind == "gap"] == ["in a member: block digest differs"]
 
 
+@pytest.mark.parametrize("zipped", [True, False])
+def test_limits_are_named(zipped, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_RECORD", 2000)
+    monkeypatch.setattr(warc, "MAX_HEADER", 500)
+    wide = warc.record({"WARC-Type": "resource", "X": "y" * 600}, b"")
+    for big in (make(1, bytes(5000)), wide):
+        data = b"".join(squeeze(p) if zipped else p for p in (make(0, BODIES[0]), big, make(2, BODIES[1])))
+        assert payloads(data) == BODIES[:2]
+        assert [x.reason.startswith("limit: ") for x in read(data) if x.kind == "gap"] == [True]
+
+
 def test_tables(spark, tiny, tmp_path):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     files = warc.write_warc(pages, f"file://{tmp_path}/w")

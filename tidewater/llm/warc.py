@@ -100,8 +100,10 @@ def parse_headers(head: bytes) -> dict[str, str]:
 
 def content_length(headers: dict[str, str]) -> int:
     n = headers.get("content-length", "")
-    if not n.isascii() or not n.isdigit() or int(n) > MAX_RECORD:
+    if not n.isascii() or not n.isdigit():
         raise Bad("no valid Content-Length")
+    if int(n) > MAX_RECORD:
+        raise Bad(f"limit: block longer than {MAX_RECORD} bytes")
     return int(n)
 
 
@@ -113,11 +115,15 @@ def check_digest(headers: dict[str, str], block: bytes) -> None:
             raise Bad("block digest differs")
 
 
+def _endless(size: int) -> str:
+    return "no end of headers" if size < MAX_HEADER else f"limit: no end of headers within {MAX_HEADER} bytes"
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[int, dict[str, str], bytes]:
     """End, headers and block of the whole record at a place."""
     end = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
     if end < 0:
-        raise Bad("no end of headers")
+        raise Bad(_endless(len(data) - at))
     headers = parse_headers(data[at:end])
     n = content_length(headers)
     block = data[end + 4 : end + 4 + n]
@@ -167,7 +173,7 @@ def gzip_records(source: Source, at: int) -> tuple[int, list[tuple[dict[str, str
         if pos == at and total >= 7 and not out[0].startswith(VERSION):
             raise Bad("no version line")
         if total > MAX_RECORD:
-            raise Bad("record too long")
+            raise Bad(f"limit: member inflates to more than {MAX_RECORD} bytes")
         pos += len(part)
     return pos - len(inflate.unused_data), member_records(b"".join(out))
 
@@ -176,7 +182,7 @@ def plain_record(source: Source, at: int) -> tuple[int, list[tuple[dict[str, str
     head = source.get(at, MAX_HEADER)
     end = head.find(b"\r\n\r\n")
     if end < 0:
-        raise Bad("no version line" if not head.startswith(VERSION) else "no end of headers")
+        raise Bad("no version line" if not head.startswith(VERSION) else _endless(len(head)))
     n = content_length(parse_headers(head[:end]))
     _, headers, block = parse_record(source.get(at, end + 4 + n + 4))
     return at + end + 4 + n + 4, [(headers, block)]
@@ -251,6 +257,9 @@ def read_warc(paths: DataFrame) -> DataFrame:
     Null paths are skipped, a path named twice is read twice, an empty file has
     neither records nor gaps, and a file that can't be opened fails the query.
     No paths give no rows. Records whose header lacks a field have a null there.
+    A block longer than ``MAX_RECORD`` (1 GiB), a member that inflates to more,
+    and headers longer than ``MAX_HEADER`` (64 KiB) are not read but quarantined,
+    though they may be valid; the reason of such a gap begins with ``limit``.
     Extra columns are not looked at.
     """
     named = Placed(paths, "path").only().where("path is not null")
