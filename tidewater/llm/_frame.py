@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +46,10 @@ class Placed:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; on a single machine, where that may be unset, a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = getattr(shared_dir, "own", None)
         if root is None:
@@ -64,6 +71,36 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_path(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path within it, of a URI or a local path."""
+    if "://" not in path and not path.startswith("file:"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+
+
+def discard(df: DataFrame | None, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more: those at ``paths`` and the one that ``df`` reads."""
+    for path in [*paths, *({os.path.dirname(f) for f in df.inputFiles()} if df is not None else ())]:
+        system, inner = open_path(path)
+        if "tidewater-" in inner and system.get_file_info(inner).type != fs.FileType.NotFound:
+            system.delete_dir(inner)
+
+
+def write_keyed(df: DataFrame, key: str, label: str) -> str:
+    """Writes a table with a folder for each value of a text column, for tasks that read single keys of it; its path."""
+    path = work_path(df.sparkSession, label)
+    df.repartition(key).write.partitionBy(key).parquet(path)
+    return path
+
+
+def read_keyed(path: str, key: str, value: str, columns: list[str] | None = None) -> pa.Table | None:
+    """The rows under one key of a table of ``write_keyed``; None if there are none."""
+    system, inner = open_path(f"{path}/{key}={value}")
+    found = [f.path for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.path.endswith(".parquet")]
+    parts = [pq.ParquetFile(system.open_input_file(f)).read(columns) for f in sorted(found)]
+    return pa.concat_tables(parts) if parts else None
+
+
 def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint only for a table of at most ``max_rows`` rows (counted); else Spark's own choice of join."""
     few = df.limit(max_rows + 1).count() <= max_rows

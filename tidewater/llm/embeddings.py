@@ -7,12 +7,16 @@ scale s: x = s q + e, and ||e|| is measured, not assumed. For two vectors
 
 by Cauchy and Schwarz. A tile product gives all q_x.q_y of two blocks at once
 (integers of at most 127**2 * dim < 2**24, so exact in float32 matrix products
-for up to 1040 dimensions, and in float64 beyond); pairs whose bound reaches the
-threshold are recomputed in full precision, and no others.
+for up to 1040 dimensions, and in float64 beyond). Pairs that the bound leaves
+open are recomputed in full precision, and no others.
 
-Vectors lie in cells around pivots. Angles obey the triangle inequality, so two
-cells whose pivots are further apart than the threshold angle plus both radii
-hold no pair, and their tiles are never multiplied.
+Equal vectors are one class from the start, and only its least id is multiplied.
+Vectors lie in cells around pivots, cells are cut into tiles, and tiles are files
+in the shared folder: a task reads the two tiles of each of its pairs, so vectors
+are not copied for every pair. Angles obey the triangle inequality, so two cells
+whose pivots are further apart than the threshold angle plus both radii hold no
+pair, and their tiles are never multiplied. A task counts links and keeps a
+spanning star for each component of its block; pairs are never written.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._frame import Placed, materialise
+from tidewater.llm._frame import Placed, discard, materialise, read_keyed, write_keyed
+from tidewater.llm.graph import components, least_labels
 
 TILES = (1024, 65536)
+#: Bytes of a tile's codes and vectors, at most.
+TILE_BYTES = 64 << 20
 PIVOTS = 2048
 SLACK = 1e-6
-CODES = "vec_id long, codes binary, scale double, err double, dim int"
+OPEN = 1 << 18
+CODES = "vec_id long, weight long, codes binary, scale double, err double, vector binary, dim int, cell int, angle double"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,6 +51,7 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def unit(vectors: list) -> np.ndarray:
     x = np.asarray(vectors, np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -54,14 +63,14 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
             x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64)
             if len(x) and np.isfinite(x).all() and x.any():
                 rows.append(i)
-                out.append(x / np.abs(x).max())
+                out.append(x)
     return np.array(rows, int), out
 
 
 def _encode(pivots: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, vectors = _vectors(batch.column(1))
+            rows, vectors = _vectors(batch.column(2))
             sizes = np.array([len(v) for v in vectors], int)
             for dim in np.unique(sizes):
                 mine = np.flatnonzero(sizes == dim)
@@ -71,115 +80,196 @@ def _encode(pivots: list[np.ndarray]):
                 cos = x @ np.stack(own).T if own else np.ones((len(x), 1))
                 cell = cos.argmax(1)
                 angle = np.arccos(np.clip(cos[np.arange(len(x)), cell], -1, 1))
+                at = pa.array(rows[mine])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows[mine])), pa.array([c.tobytes() for c in q], pa.binary()), pa.array(scale), pa.array(err), pa.array(np.full(len(x), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(angle)],
-                    ["vec_id", "codes", "scale", "err", "dim", "cell", "angle"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([c.tobytes() for c in q], pa.binary()), pa.array(scale), pa.array(err), pa.array([_exact(vectors[i]) for i in mine], pa.binary()), pa.array(np.full(len(x), dim), pa.int32()), pa.array(cell, pa.int32()), pa.array(angle)],
+                    ["vec_id", "weight", "codes", "scale", "err", "vector", "dim", "cell", "angle"],
                 )
 
     return run
 
 
-def tile_candidates(a: dict, b: dict, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two tiles whose similarity may reach the threshold."""
-    kind = np.float32 if a["q"].shape[1] <= 1040 else np.float64
-    i, j = [np.zeros(0, int)], [np.zeros(0, int)]
-    norm_b = np.linalg.norm(b["q"].astype(np.float64), axis=1) * b["scale"]
-    for c in range(0, len(b["q"]), 4096):
-        d = slice(c, c + 4096)
-        qb = np.ascontiguousarray(b["q"][d].astype(kind).T)
-        for lo in range(0, len(a["q"]), 1024):
-            if same and lo > c + 4096:
-                break
-            r = slice(lo, lo + 1024)
-            dot = (a["q"][r].astype(kind) @ qb).astype(np.float64)
-            dot *= a["scale"][r, None] * b["scale"][None, d]
-            dot += b["err"][None, d] + a["err"][r, None] * norm_b[None, d]
-            x, y = np.nonzero(dot >= threshold - SLACK)
-            x, y = x + lo, y + c
+def _exact(x: np.ndarray) -> bytes:
+    """Single precision where it holds all of the vector, else double."""
+    short = x.astype(np.float32)
+    return (short if np.array_equal(short, x) else x).tobytes()
+
+
+def _inexact(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim else np.float64).astype(np.float64)
+
+
+class Tile:
+    """The vectors of one tile, by ascending id."""
+
+    def __init__(self, table: pa.Table):
+        self.id = table.column("vec_id").to_numpy()
+        order = np.argsort(self.id, kind="stable")
+        self.id = self.id[order]
+        self.weight = table.column("weight").to_numpy()[order].astype(np.float64)
+        self.scale, self.err = table.column("scale").to_numpy()[order], table.column("err").to_numpy()[order]
+        self.q = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(order), -1)[order]
+        self.norm = np.linalg.norm(self.q.astype(np.float64), axis=1) * self.scale
+        raw = table.column("vector").to_pylist()
+        self.raw = [raw[k] for k in order.tolist()]
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack([_inexact(self.raw[k], self.q.shape[1]) for k in rows.tolist()])
+
+
+def similar(a: Tile, i: np.ndarray, b: Tile, j: np.ndarray) -> np.ndarray:
+    """Similarities in double precision of the rows i of a and j of b."""
+    out = np.zeros(len(i))
+    for c in range(0, len(i), OPEN // 8):
+        d = slice(c, c + OPEN // 8)
+        ui, at_i = np.unique(i[d], return_inverse=True)
+        uj, at_j = np.unique(j[d], return_inverse=True)
+        out[d] = np.einsum("ij,ij->i", unit(a.exact(ui))[at_i], unit(b.exact(uj))[at_j])
+    return out
+
+
+def block_links(a: Tile, r: slice, b: Tile, c: slice, threshold: float, kind: type) -> tuple[np.ndarray, int]:
+    """Which pairs of the rows r of a and c of b reach the threshold, and how many were recomputed."""
+    dot = (a.q[r].astype(kind) @ b.q[c].astype(kind).T).astype(np.float64)
+    dot *= a.scale[r, None] * b.scale[None, c]
+    slack = b.err[None, c] + a.err[r, None] * b.norm[None, c] + SLACK
+    sure = dot - slack >= threshold
+    i, j = np.nonzero((dot + slack >= threshold) & ~sure)
+    if len(i):
+        sure[i, j] = similar(a, i + r.start, b, j + c.start) >= threshold
+    return sure, len(i)
+
+
+def block_stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) edges of a block that join the same rows and columns as all its links, at most one for each of them."""
+    far = np.iinfo(np.int32).max
+    rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    part = linked[np.ix_(rows, columns)]
+    if part.sum() <= len(rows) + len(columns):
+        i, j = np.nonzero(part)
+        return rows[i], columns[j]
+    label = np.arange(len(rows), dtype=np.int32)
+    while True:
+        down = np.where(part, label[:, None], far).min(0)
+        up = np.where(part, down[None, :], far).min(1)
+        if np.array_equal(up, label):
+            break
+        label = up
+    # every label is that of a row of its component; rows reach it by the component's first column
+    _, first = np.unique(down, return_index=True)
+    hub = dict(zip(down[first].tolist(), first.tolist(), strict=True))
+    at = np.array([hub[x] for x in label.tolist()])
+    return np.r_[rows, rows[down]], np.r_[columns[at], columns]
+
+
+def tile_links(a: Tile, b: Tile, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted links of the ids of a, then of b, and star edges (of places in a, then b) of their components."""
+    kind = np.float32 if a.q.shape[1] <= 1040 else np.float64
+    n = len(a.id)
+    links = np.zeros(n + (0 if same else len(b.id)))
+    shift = 0 if same else n
+    u, v = [np.zeros(0, int)], [np.zeros(0, int)]
+    for lo in range(0, n, 1024):
+        r = slice(lo, min(lo + 1024, n))
+        for c0 in range(lo if same else 0, len(b.id), 2048):
+            c = slice(c0, min(c0 + 2048, len(b.id)))
+            linked, _ = block_links(a, r, b, c, threshold, kind)
             if same:
-                keep = y > x
-                x, y = x[keep], y[keep]
-            i.append(x)
-            j.append(y)
-    return np.concatenate(i), np.concatenate(j)
-
-
-def _side(table: pa.Table) -> dict:
-    ids = table.column("vec_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(ids), -1)
-    return {"id": ids[order], "q": codes[order], "scale": table.column("scale").to_numpy()[order], "err": table.column("err").to_numpy()[order]}
-
-
-def _product(threshold: float):
-    def run(group: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        left, right = (group.filter(pc.equal(group.column("side"), s)) for s in (0, 1))
-        same = not len(right)
-        a = _side(left)
-        b = a if same else _side(right)
-        if not len(a["id"]) or not len(b["id"]):
-            i = j = np.zeros(0, int)
-        else:
-            i, j = tile_candidates(a, b, threshold, same)
-        x, y = a["id"][i], b["id"][j]
-        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+                linked &= np.arange(c.start, c.stop)[None, :] > np.arange(r.start, r.stop)[:, None]
+            if not linked.any():
+                continue
+            links[r] += linked @ b.weight[c]
+            links[shift + c.start : shift + c.stop] += a.weight[r] @ linked
+            i, j = block_stars(linked)
+            u.append(i + r.start)
+            v.append(j + c.start + shift)
+    root = least_labels(len(links), np.concatenate(u), np.concatenate(v))
+    return links, root, np.flatnonzero(root != np.arange(len(root)))
+
+
+def _product(path: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Tile] = {}
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = {k: held[k] if k in held else Tile(read_keyed(path, "tile", k, ["vec_id", "weight", "codes", "scale", "err", "vector"])) for k in {left, right}}
+                a, b, same = held[left], held[right], left == right
+                links, root, at = tile_links(a, b, threshold, same)
+                ids = a.id if same else np.r_[a.id, b.id]
+                some = np.flatnonzero(links)
+                none = pa.nulls(len(some) + len(at), pa.int64())
+                # the root of a star is its least place, not its least id; components() orders the ends
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[ids[some], ids[at]]), pa.concat_arrays([none[: len(some)], pa.array(ids[root[at]])]), pa.concat_arrays([pa.array(links[some].astype(np.int64)), none[: len(at)]])],
+                    ["u", "v", "links"],
+                )
+
+    return run
+
+
+def _partners(cells: dict[int, tuple], reach: float):
+    """For each cell, the tile pairs with itself and with later cells that may hold a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, cell, parts, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near = [(cell, parts)]
+                if dim in cells:
+                    centres, at, sizes, radii = cells[dim]
+                    gap = np.arccos(np.clip(centres[at] @ centres[cell], -1, 1))
+                    near += [(int(at[k]), int(sizes[k])) for k in np.flatnonzero((at > cell) & (gap <= radius + radii + reach))]
+                for other, count in near:
+                    left, right = np.triu_indices(parts) if other == cell else (x.ravel() for x in np.indices((parts, count)))
+                    for k in range(0, len(left), 65536):
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{dim}-{cell}-{p}" for p in left[k : k + 65536]]), pa.array([f"{dim}-{other}-{p}" for p in right[k : k + 65536]])], ["a", "b"])
 
     return run
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, tile: int | None = None, pivots: int | None = None) -> DataFrame:
-    """(vec_a, vec_b, similarity), vec_a < vec_b: every pair of cosine similarity of at least ``threshold``, exactly.
-
-    The size of a tile follows from the number n of vectors: n / 16 within
-    ``TILES``; there is a pivot for each tile, ``PIVOTS`` at most. Where the
-    pivots exclude nothing the work is quadratic, as it must be for an exact
-    result. Similarities are computed in double precision. Vectors that are null, empty,
-    all zero or hold a null or non-finite part, and rows without an id, are in
-    no pair; vectors of different lengths aren't compared. Of rows that share
-    an id, the one of least content stands for all. An empty table gives no
-    rows. Extra columns are not looked at.
+    """(vec_id, class_id, links) of every vector: how many others have a cosine similarity of at least ``threshold`` to it, exactly, and its class.
+
+    Classes are the connected components of such pairs; ``class_id`` is the least
+    id of one, a vector without links is its own class. The size of a tile follows
+    from the number n of vectors: n / 16 within ``TILES`` and ``TILE_BYTES``; there
+    is a pivot for each tile, ``PIVOTS`` at most. Where the pivots exclude nothing
+    the work is quadratic, as it must be for an exact result. Vectors that are
+    null, empty, all zero or hold a null or non-finite part have no class (null)
+    and no links; rows without an id are left out; vectors of different lengths
+    aren't compared. Of rows that share an id, the one of least content stands
+    for all. An empty table gives no rows. Extra columns are not looked at.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     spark = vectors.sparkSession
-    plain = Placed(vectors, "vec_id", "embedding").only().select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    plain = Placed(vectors, "vec_id", "embedding").only().select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
     one = materialise(plain.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
-    n = one.count()
+    # equal vectors are told by a digest, so that only ids and digests are shuffled
+    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    digest = F.when(F.coalesce(usable, F.lit(False)), F.sha2(F.transform("embedding", lambda x: x + 0.0).cast("string"), 256))
+    members = materialise(one.select("vec_id", digest.alias("digest")), "digests")
+    classes = materialise(members.where("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "copies")
+    n = classes.count()
+    reps = one.join(classes.select(F.col("rep").alias("vec_id"), "weight"), "vec_id").select("vec_id", "weight", "embedding")
     tile = tile or min(max(n // 16, TILES[0]), TILES[1])
     pivots = pivots or min(PIVOTS, max(1, -(-n // tile)))
-    chosen = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    centres = [np.array(r.embedding, float) for r in chosen if r.embedding and None not in r.embedding]
-    centres = [c / np.linalg.norm(c) for c in centres if np.isfinite(c).all() and c.any()]
-    shape = f"{CODES}, cell int, angle double"
-    coded = materialise(one.mapInArrow(_encode(centres), shape), "codes")
+    chosen = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    centres = [unit([r.embedding])[0] for r in chosen]
+    coded = materialise(reps.mapInArrow(_encode(centres), CODES), "codes")
     # cells are cut into tiles of about equal size by the hash of the id
-    cells = coded.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("parts", F.ceil(F.col("n") / tile).cast("int"))
-    cells = materialise(cells, "cells")
-    tiles = cells.select("dim", "cell", "radius", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    centre_rows = spark.createDataFrame([(len(c), k, c.tolist()) for dim in {len(c) for c in centres} for k, c in enumerate(c for c in centres if len(c) == dim)], "dim int, cell int, centre array<double>")
-    apart = centre_rows.alias("p").crossJoin(F.broadcast(centre_rows).alias("q")).where("p.dim = q.dim and p.cell <= q.cell")
-    dot = F.aggregate(F.zip_with("p.centre", "q.centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = apart.select(F.col("p.dim").alias("dim"), F.col("p.cell").alias("cell_a"), F.col("q.cell").alias("cell_b"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))).alias("gap"))
-    # lengths without a pivot are one cell each
-    bare = cells.where(~F.col("dim").isin([len(c) for c in centres])) if centres else cells
-    zero = F.lit(0).cast("int")
-    apart = apart.union(bare.select("dim", zero.alias("cell_a"), zero.alias("cell_b"), F.lit(0.0).alias("gap")).distinct())
-    left = tiles.select("dim", F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("radius").alias("radius_a"))
-    right = tiles.select("dim", F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("radius").alias("radius_b"))
-    reach = float(np.arccos(threshold)) + 1e-6
-    pairs = apart.join(left, ["dim", "cell_a"]).join(right, ["dim", "cell_b"]).where(F.col("gap") <= F.col("radius_a") + F.col("radius_b") + reach).where("cell_a < cell_b or part_a <= part_b")
-    pairs = materialise(pairs.select("dim", "cell_a", "part_a", "cell_b", "part_b", F.xxhash64("dim", "cell_a", "part_a", "cell_b", "part_b").alias("task")), "tiles")
-    placed = coded.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).select("dim", "cell", "part", "vec_id", "codes", "scale", "err")
-    sides = [
-        placed.join(pairs.select("dim", F.col("cell_a").alias("cell"), F.col("part_a").alias("part"), "task"), ["dim", "cell", "part"]).withColumn("side", F.lit(0)),
-        placed.join(pairs.where("cell_a <> cell_b or part_a <> part_b").select("dim", F.col("cell_b").alias("cell"), F.col("part_b").alias("part"), "task"), ["dim", "cell", "part"]).withColumn("side", F.lit(1)),
-    ]
-    tasks = sides[0].union(sides[1]).select("task", "side", "vec_id", "codes", "scale", "err")
-    candidates = tasks.groupBy("task").applyInArrow(_product(threshold), "a long, b long")
-    full = one.select("vec_id", "embedding")
-    both = candidates.join(full.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(full.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
-    total = lambda l, r: F.aggregate(F.zip_with(l, r, lambda s, t: s * t), F.lit(0.0), lambda s, t: s + t)
-    exact = both.select("a", "b", (total("x", "y") / (F.sqrt(total("x", "x")) * F.sqrt(total("y", "y")))).alias("similarity"))
-    return exact.where(F.col("similarity") >= threshold).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), "similarity")
+    rows = F.least(F.lit(tile), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (F.col("dim") * 9))))
+    cells = materialise(coded.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("parts", F.ceil(F.col("n") / rows).cast("int")).select("dim", "cell", "parts", "radius"), "cells")
+    known: dict[int, tuple] = {}
+    for dim in {len(c) for c in centres}:  # lengths without a pivot are one cell each
+        own = cells.where(F.col("dim") == dim).orderBy("cell").collect()
+        known[dim] = np.stack([c for c in centres if len(c) == dim]), *(np.array([r[k] for r in own]) for k in ("cell", "parts", "radius"))
+    pairs = materialise(cells.mapInArrow(_partners(known, float(np.arccos(threshold)) + 1e-6), "a string, b string"), "pairs")
+    name = F.concat_ws("-", "dim", "cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("string"))
+    path = write_keyed(coded.join(cells.select("dim", "cell", "parts"), ["dim", "cell"]).select(name.alias("tile"), "vec_id", "weight", "codes", "scale", "err", "vector"), "tile", "tiles")
+    tasks = pairs.repartition(max(1, min(pairs.count(), 100_000)))
+    found = materialise(tasks.mapInArrow(_product(path, threshold), "u long, v long, links long"), "links")
+    links = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    roots = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("rep"), "root")
+    discard(coded, path)
+    whole = classes.join(links, "rep", "left").join(roots, "rep", "left").select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    return members.join(whole, "digest", "left").select("vec_id", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))

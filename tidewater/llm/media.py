@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm._frame import Placed, materialise, work_path
-from tidewater.llm.warc import open_path
+from tidewater.llm._frame import Placed, materialise, open_path, work_path
 
 HEAD = 2048
 SHARD_BYTES = 256 << 20

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, embeddings, media, packing, pii, quality, simhash, substring, toxicity, warc
 
@@ -64,19 +63,22 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9).select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
 
 
 def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs at a lower threshold, which small tables hold too."""
-    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.35).select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))
-
-
-_PAIRS_SQL = """
-WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) AS s
-      FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT vec_a, vec_b, round(s, 6) AS similarity FROM p WHERE s >= {}
+    """Classes and links at a lower threshold, at which small tables hold pairs too."""
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), 0.35)
+
+
+_CLASSES_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= {}),
+reach AS (SELECT x, y FROM p UNION SELECT r.x, p.y FROM reach r JOIN p ON r.y = p.x),
+roots AS (SELECT x, min(y) AS y FROM reach GROUP BY x), counts AS (SELECT x, count(*) AS links FROM p GROUP BY x)
+SELECT vec_id, least(vec_id, coalesce(roots.y, vec_id)) AS class_id, coalesce(links, 0) AS links
+FROM v LEFT JOIN roots ON roots.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 """
 
 OP3_SQL = """
@@ -132,6 +134,6 @@ SQL = {
     "op3_warc": OP3_SQL,
     "bpe_round_trip": "SELECT doc_id, text FROM documents",
     "media_metadata": MEDIA_SQL,
-    "op10_embeddings": _PAIRS_SQL.format(0.9),
-    "embedding_neighbours": _PAIRS_SQL.format(0.35),
+    "op10_embeddings": _CLASSES_SQL.format(0.9),
+    "embedding_neighbours": _CLASSES_SQL.format(0.35),
 }

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _text as tx
 from tidewater.llm._frame import Placed, materialise
-from tidewater.llm.graph import components
+from tidewater.llm.graph import components, least_labels
 
 BITS, WORDS, BYTES = 512, 8, 64
 STRIP, SHIFTS, DEEPER, POOL = 32, 32, 4, 64
@@ -162,20 +162,6 @@ def close_pairs(fp: np.ndarray, max_distance: int, block: int = 256) -> tuple[np
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index of each index's component."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return label
-
-
 def _stars(max_distance: int):
     def run(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()

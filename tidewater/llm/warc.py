@@ -22,11 +22,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm._frame import Placed, materialise, work_path
+from tidewater.llm._frame import Placed, materialise, open_path, work_path
 
 BLOCK = 4 << 20
 MAX_HEADER = 64 << 10
@@ -221,13 +220,6 @@ def salvage(source: Source) -> Iterator[Found]:
         yield Found("gap", bad_from, source.size - bad_from, reason=reason)
 
 
-def open_path(path: str):
-    """File system and path within it, of a URI or a local path."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
-
-
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
