@@ -69,7 +69,7 @@ def test_blocks_of_a_dense_group():
         links, root, at = embeddings.tile_links(a, b, threshold, False)
         assert np.array_equal(links + np.r_[own_a[0], own_b[0]], want)
         assert len(at) < 2500 and (threshold > 0.9 or (root == 0).all())
-    linked, again = embeddings.block_links(a, slice(0, 1024), b, slice(0, 1000), 0.9, np.float32)
+    linked, again = embeddings.block_links(a, slice(0, 1024), b, slice(0, 1000), 0.9)
     assert linked.all() and again == 0
 
 

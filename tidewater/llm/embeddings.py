@@ -5,10 +5,10 @@ scale s: x = s q + e, and ||e|| is measured, not assumed. For two vectors
 
     |x.y - s_x s_y q_x.q_y| <= ||x|| ||e_y|| + ||e_x|| ||s_y q_y||
 
-by Cauchy and Schwarz. A tile product gives all q_x.q_y of two blocks at once
-(integers of at most 127**2 * dim < 2**24, so exact in float32 matrix products
-for up to 1040 dimensions, and in float64 beyond). Pairs that the bound leaves
-open are recomputed in full precision, and no others.
+by Cauchy and Schwarz. A tile product gives all s_x s_y q_x.q_y of two blocks at
+once, in float32, whose rounding, at most (dim + 4) 2**-24 for unit vectors, is
+part of the bound. Pairs that the bound leaves open are recomputed in full
+precision, and no others.
 
 Equal vectors are one class from the start, and only its least id is multiplied.
 Vectors lie in cells around pivots, cells are cut into tiles, and tiles are files
@@ -109,7 +109,8 @@ class Tile:
         self.weight = table.column("weight").to_numpy()[order].astype(np.float64)
         self.scale, self.err = table.column("scale").to_numpy()[order], table.column("err").to_numpy()[order]
         self.q = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int8).reshape(len(order), -1)[order]
-        self.norm = np.linalg.norm(self.q.astype(np.float64), axis=1) * self.scale
+        self.x = (self.q * self.scale[:, None]).astype(np.float32)
+        self.norm = np.linalg.norm(self.x.astype(np.float64), axis=1) + 1e-6
         raw = table.column("vector").to_pylist()
         self.raw = [raw[k] for k in order.tolist()]
 
@@ -128,13 +129,15 @@ def similar(a: Tile, i: np.ndarray, b: Tile, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(a: Tile, r: slice, b: Tile, c: slice, threshold: float, kind: type) -> tuple[np.ndarray, int]:
+def block_links(a: Tile, r: slice, b: Tile, c: slice, threshold: float) -> tuple[np.ndarray, int]:
     """Which pairs of the rows r of a and c of b reach the threshold, and how many were recomputed."""
-    dot = (a.q[r].astype(kind) @ b.q[c].astype(kind).T).astype(np.float64)
-    dot *= a.scale[r, None] * b.scale[None, c]
-    slack = b.err[None, c] + a.err[r, None] * b.norm[None, c] + SLACK
-    sure = dot - slack >= threshold
-    i, j = np.nonzero((dot + slack >= threshold) & ~sure)
+    dot = a.x[r] @ b.x[c].T
+    slack = SLACK + 1.02 * (a.x.shape[1] + 4) * 2.0**-24
+    left, right = a.err[r] * b.norm[c].max(initial=0.0), b.err[c]
+    if not dot.size or dot.max() + left.max() + right.max() + slack < threshold:
+        return np.zeros(dot.shape, bool), 0
+    sure = dot - right[None, :].astype(np.float32) >= (threshold + slack + left).astype(np.float32)[:, None]
+    i, j = np.nonzero((dot + right[None, :].astype(np.float32) >= (threshold - slack - left).astype(np.float32)[:, None]) & ~sure)
     if len(i):
         sure[i, j] = similar(a, i + r.start, b, j + c.start) >= threshold
     return sure, len(i)
@@ -164,7 +167,6 @@ def block_stars(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tile_links(a: Tile, b: Tile, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weighted links of the ids of a, then of b, and star edges (of places in a, then b) of their components."""
-    kind = np.float32 if a.q.shape[1] <= 1040 else np.float64
     n = len(a.id)
     links = np.zeros(n + (0 if same else len(b.id)))
     shift = 0 if same else n
@@ -173,7 +175,7 @@ def tile_links(a: Tile, b: Tile, threshold: float, same: bool) -> tuple[np.ndarr
         r = slice(lo, min(lo + 1024, n))
         for c0 in range(lo if same else 0, len(b.id), 2048):
             c = slice(c0, min(c0 + 2048, len(b.id)))
-            linked, _ = block_links(a, r, b, c, threshold, kind)
+            linked, _ = block_links(a, r, b, c, threshold)
             if same:
                 linked &= np.arange(c.start, c.stop)[None, :] > np.arange(r.start, r.stop)[:, None]
             if not linked.any():
