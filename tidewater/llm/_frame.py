@@ -11,6 +11,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(df: DataFrame, *wanted: str) -> DataFrame:
+    """The wanted columns, and where each row is stored: ``file`` and ``row``, the same whenever it is read.
+
+    A frame that isn't read straight from Parquet is written first.
+    """
+    p = Placed(df, *wanted)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return p.df.select(*[F.col(p[w]).alias(w) for w in wanted], *place)
+    except AnalysisException:
+        return materialise(p.only(*wanted), "rows").select(*wanted, *place)
+
+
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
     """File system and path within it, of a URI or a local path."""
     if "://" not in path and not path.startswith("file:"):
