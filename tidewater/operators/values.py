@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidewater.errors import TypeCastError
 from tidewater.functions import text
 from tidewater.functions.types import SPARK, canonical, dtypes, is_number, is_text, names, quoted, require, with_exprs
+from tidewater.operators.quantiles import quantiles
 from tidewater.operators.rowid import ROW, with_row_id
 from tidewater.operators.rows import clip_bounds
 
@@ -314,18 +315,23 @@ def _finite(c: Column) -> Column:
 def winsorize_outliers(df: DataFrame, *, lower: float = 0.05, upper: float = 0.95, subset=None, approximate: bool = False) -> DataFrame:
     """Numbers clipped to two of their quantiles (linear interpolation), as float64.
 
-    One aggregate finds the quantiles of all the columns. ``approximate`` uses a
-    mergeable sketch instead of exact order statistics.
+    A few passes of counting find the quantiles of all the columns.
+    ``approximate`` uses a mergeable sketch, and one aggregate, instead of exact
+    order statistics.
     """
     if not (isinstance(lower, int | float) and isinstance(upper, int | float) and 0 <= lower < upper <= 1):
         raise ValueError("winsorize_outliers: need 0 <= lower < upper <= 1")
     columns = [c for c in df.columns if is_number(df, c)] if subset is None else clip_bounds(df, names(df, subset, "winsorize_outliers"), "winsorize_outliers")
     if not columns:
         return df
-    at = F.array(F.lit(float(lower)), F.lit(float(upper)))
-    quantiles = df.agg(*[(F.percentile_approx(_finite(quoted(c)), at, 10000) if approximate else F.percentile(_finite(quoted(c)), at)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    at = [float(lower), float(upper)]
+    cells = [_finite(quoted(c)) for c in columns]
+    if approximate:
+        found = df.agg(*[F.percentile_approx(x, F.array(*map(F.lit, at)), 10000).alias(f"q{i}") for i, x in enumerate(cells)]).first()
+    else:
+        found = quantiles(df, cells, at)
     exprs = {}
-    for c, q in zip(columns, quantiles, strict=True):
+    for c, q in zip(columns, found, strict=True):
         v = quoted(c).cast("double")
         exprs[c] = v if not q else F.when(v < q[0], F.lit(q[0])).when(v > q[1], F.lit(q[1])).otherwise(v)
     return with_exprs(df, exprs)
