@@ -13,18 +13,23 @@ from tidewater.quality import profile
 AT = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
 
 
-def shuffled(spark, f) -> int:
-    """Bytes that the jobs of ``f`` write for shuffles."""
+def stages(spark, f) -> list:
+    """The stages that ``f`` runs, as Spark's status store has them."""
 
-    def stages():
+    def all_of_them():
         gateway, sc = spark.sparkContext._gateway, spark.sparkContext._jsc.sc()
         sc.listenerBus().waitUntilEmpty(30_000)
         found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
-        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+        return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}
 
-    before = stages()
+    before = all_of_them()
     f()
-    return sum(n for k, n in stages().items() if k not in before)
+    return [s for k, s in all_of_them().items() if k not in before]
+
+
+def shuffled(spark, f) -> int:
+    """Bytes that the jobs of ``f`` write for shuffles."""
+    return sum(s.shuffleWriteBytes() for s in stages(spark, f))
 
 
 rng = np.random.default_rng(3)
@@ -54,3 +59,20 @@ def test_winsorizing_moves_counts_and_not_values(spark):
     got = []
     assert shuffled(spark, lambda: got.append(tw.winsorize_outliers(df).agg(F.min("x"), F.max("x")).first())) < 1_000_000
     assert got[0] == pytest.approx((lo, hi))
+
+
+def test_no_task_reads_the_values_of_a_column(spark):
+    """Of what a large shuffle holds, each of four tasks reads about its share."""
+    df = spark.range(200_000, numPartitions=8).select(((F.col("id") * 7919) % 200_003 + 0.25).alias("x"), ((F.col("id") * 104_729) % 200_003).alias("y"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = []
+        large = [s for s in stages(spark, lambda: got.extend(profile.column_stats(df, ["x", "y"]).collect())) if s.shuffleReadBytes() > 500_000]
+        assert large
+        for s in large:
+            tasks = spark.sparkContext._jsc.sc().statusStore().taskList(s.stageId(), s.attemptId(), 100)
+            assert max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().localBytesRead() for i in range(tasks.size())) < 0.4 * s.shuffleReadBytes()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    x = np.array([(i * 7919) % 200_003 + 0.25 for i in range(200_000)])
+    assert [got[0][q] for q in ("q25", "q50", "q75", "q95")] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75, 0.95]).tolist()) and got[0]["unique_count"] == len(set(x.tolist()))

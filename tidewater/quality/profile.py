@@ -1,7 +1,8 @@
-"""Profiles: what the columns of a frame hold, from a fixed number of passes.
+"""Profiles: what the columns of a frame hold, from a few passes.
 
-One wide aggregate gives every statistic of every column; a second one the
-histograms, whose edges need the first; top values are one grouped pass over
+One wide aggregate gives every statistic of every column, one beside it the
+distinct values, and a few passes of counting the quantiles; another gives the
+histograms, whose edges need these; top values are one grouped pass over
 (column, value) pairs for all columns together; duplicates are one distinct.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text
 from tidewater.functions.types import dtypes, names, quoted
 from tidewater.operators.frame import memory_usage
+from tidewater.operators.quantiles import quantiles
 from tidewater.operators.rowid import ROW, with_row_id
 
 EMAIL, URL, PHONE = r"^(?:[^@\s]+@[^@\s]+\.[^@\s]+)$", r"^(?:https?://\S+)$", r"^(?:\+?[0-9][0-9 .()\-]{6,}[0-9])$"
@@ -186,27 +188,37 @@ def _ratio(n, of) -> float:
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column with all the statistics that a single aggregate can give."""
-    kinds, parts = dtypes(df), []
-    for c in columns:
-        raw, kind = quoted(c), kinds[c]
-        v = F.when(~F.isnan(raw), raw) if kind == "float64" else raw
-        one: dict[str, Any] = {"row_count": F.count(F.lit(1)), "null_count": F.count_if(v.isNull()), "unique_count": F.count_distinct(v)}
+    """One row per column with all its statistics.
+
+    Quantiles are found first, by a few passes of counting. Distinct values have
+    an aggregate of their own: in the other one, each distinct value would carry
+    the state of all the rest through the shuffle.
+    """
+    kinds = dtypes(df)
+    value = {c: F.when(~F.isnan(quoted(c)), quoted(c)) if kinds[c] == "float64" else quoted(c) for c in columns}
+    finite = {c: F.when(F.abs(value[c].cast("double")) < float("inf"), value[c].cast("double")) for c in columns if kinds[c] in ("int64", "float64")}
+    found = dict(zip(finite, quantiles(df, list(finite.values()), QUANTILES), strict=True))
+    aggregates, parts = [], []
+    for i, c in enumerate(columns):
+        v, kind = value[c], kinds[c]
+        one: dict[str, Any] = {"row_count": F.count(F.lit(1)), "null_count": F.count_if(v.isNull())}
         if kind in ("int64", "float64"):
-            x = F.when(F.abs(v.cast("double")) < float("inf"), v.cast("double"))
-            q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
+            x = finite[c]
             one |= {"finite": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "std": F.stddev_samp(x)}
-            one |= {n: F.get(q, F.lit(i)) for i, n in enumerate(("q25", "q50", "q75", "q95"))}
         elif kind == "string":
             bare, n = text.strip_unicode(v), F.length(v).cast("double")
             one |= {"min": F.min(n), "max": F.max(n), "mean": F.avg(n), "whitespace_count": F.count_if(v != bare), "empty_string_count": F.count_if(bare == "")}
             one |= {k: F.count_if(bare.rlike(r)) for k, r in (("emails", EMAIL), ("urls", URL), ("phones", PHONE), ("dates", DATE), ("ints", INTEGER))}
             number = F.abs(bare.try_cast("double")) < float("inf")
             one |= {"bools": F.count_if(F.lower(bare).isin(*BOOLEAN)), "floats": F.count_if(number & bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"))}
-        parts.append(F.struct(F.lit(c).alias("name"), F.lit(kind).alias("dtype"), *[one.get(n, F.lit(None)).cast(t).alias(n) for n, t in _STATS]))
-    return df.agg(F.array(*parts).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+        aggregates.append(F.struct(*[x.alias(n) for n, x in one.items()]).alias(f"s{i}"))
+        known = {n: F.col(f"s{i}.{n}") for n in one} | {"unique_count": F.col(f"u{i}")} | dict(zip(("q25", "q50", "q75", "q95"), map(F.lit, found.get(c) or ()), strict=False))
+        parts.append(F.struct(F.lit(c).alias("name"), F.lit(kind).alias("dtype"), *[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in _STATS]))
+    distinct = df.agg(*[F.count_distinct(value[c]).alias(f"u{i}") for i, c in enumerate(columns)])
+    return df.agg(*aggregates).crossJoin(distinct).select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
+QUANTILES = [0.25, 0.5, 0.75, 0.95]
 _STATS = [(n, "long") for n in ("row_count", "null_count", "unique_count", "finite", "whitespace_count", "empty_string_count", "emails", "urls", "phones", "dates", "ints", "bools", "floats")] + [(n, "double") for n in ("min", "max", "mean", "std", "q25", "q50", "q75", "q95")]
 
 
