@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import base64
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -75,3 +78,32 @@ def test_round_trip_of_edges(edge, empty):
 def test_unknown_id_fails(vocabulary):
     with pytest.raises(ValueError, match="not in the vocabulary"):
         bpe.decode(vocabulary, np.array([vocabulary.size]), np.array([0, 1]))
+
+
+def _decoded(vocabulary, rows: list) -> list:
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
+    shared = SimpleNamespace(value=vocabulary)
+    return [t for b in bpe._decode(shared)(iter([batch.slice(1), batch.slice(0, 1)])) for t in b.column(1).to_pylist()]
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 18])
+def test_decoding_in_slices(vocabulary, monkeypatch, together):
+    """Nulls, empty rows, rows that aren't UTF-8, and characters that rows share."""
+    monkeypatch.setattr(bpe, "DECODED", together, raising=False)
+    byte = vocabulary.byte.tolist()
+    cut = [byte[b] for b in "é".encode()]
+    rows = [cut, None, [], [byte[97]] * 9, cut[:1], cut[1:], None, [byte[255], byte[98]], []]
+    want = ["é", None, "", "a" * 9, "�", "�", None, "�b", ""]
+    assert _decoded(vocabulary, rows) == want[1:] + want[:1]
+
+
+def test_decoding_takes_the_memory_of_a_slice(vocabulary):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.ListArray.from_arrays(pa.array(range(0, 2_000_001, 1000), pa.int32()), pa.array(np.full(2_000_000, vocabulary.byte[97] + 1000, np.int32)))], ["doc_id", "ids"])
+    shared = SimpleNamespace(value=vocabulary)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in bpe._decode(shared)(iter([batch]))) == 2000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6

@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 import bisect
+import codecs
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\
 NONE = np.int32(2**31 - 1)
 TOGETHER = 64
 KEPT = 150_000
+#: Token ids that are decoded at a time, unless a single text has more.
+DECODED = 1 << 18
 
 
 class Vocabulary:
@@ -270,17 +274,37 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     return plain.mapInArrow(_encode(shared, pattern), "doc_id long, n_tokens long, ids array<int>")
 
 
+def _texts(v: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Strings of the ids of some rows, straight from the bytes unless some aren't UTF-8."""
+    raw, ends = decode(v, ids, offs)
+    try:
+        codecs.utf_8_decode(raw.data, "strict", True)
+        whole = not ((raw[ends[1:-1][ends[1:-1] < len(raw)]] & 0xC0) == 0x80).any()  # no row may begin within a character
+    except UnicodeDecodeError:
+        whole = False
+    if not whole:
+        return pa.array([raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw))
+
+
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                if ids is None:
-                    texts.append(None)
-                    continue
-                raw, _ = decode(shared.value, np.array(ids, np.int64), np.array([0, len(ids)]))
-                texts.append(raw.tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            column = batch.column(1)
+            offs = column.offsets.to_numpy().astype(np.int64)
+            ids, null = column.values, column.is_null()
+            sizes = np.where(null.to_numpy(zero_copy_only=False), 0, np.diff(offs))
+            for i, j in tx.slices(np.r_[0, np.cumsum(sizes)], DECODED):
+                kept = null.slice(i, j - i)
+                if kept.true_count:
+                    # a null row may have ids beneath it
+                    part = column.slice(i, j - i).flatten()
+                else:
+                    part = ids.slice(offs[i], offs[j] - offs[i])
+                if part.null_count:
+                    raise ValueError("a token id is null")
+                texts = _texts(shared.value, part.to_numpy().astype(np.int64), np.r_[0, np.cumsum(sizes[i:j])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pc.if_else(kept, None, texts) if kept.true_count else texts], ["doc_id", "text"])
 
     return run
 
