@@ -76,3 +76,10 @@ def test_no_task_reads_the_values_of_a_column(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     x = np.array([(i * 7919) % 200_003 + 0.25 for i in range(200_000)])
     assert [got[0][q] for q in ("q25", "q50", "q75", "q95")] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75, 0.95]).tolist()) and got[0]["unique_count"] == len(set(x.tolist()))
+
+
+def test_distinct_values_carry_no_statistics(spark):
+    """The shuffle of distinct values is about as large as that of counting them alone."""
+    df = spark.range(50_000, numPartitions=8).select("id", F.concat(F.lit("Customer#"), F.col("id")).alias("name"))
+    least = shuffled(spark, lambda: df.agg(F.count_distinct("id"), F.count_distinct("name")).collect())
+    assert shuffled(spark, lambda: profile.column_stats(df, ["id", "name"]).collect()) < 1.4 * least
