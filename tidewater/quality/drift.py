@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text
 from tidewater.functions.types import dtypes, quoted
-from tidewater.quality.profile import ColumnProfile, DataQualityReport, _cell, _emit, profile
+from tidewater.quality.profile import ColumnOutline, ColumnProfile, DataQualityReport, Outline, _cell, _emit, outline, profile
 
 
 def _report(x) -> DataQualityReport:
     return x if isinstance(x, DataQualityReport) else profile(x)
 
 
+def _outline(x, duplicates: bool = False) -> DataQualityReport | Outline:
+    """A profile as it is; of a frame, no more than what is compared."""
+    return x if isinstance(x, DataQualityReport) else outline(x, duplicates)
+
+
 @dataclass
 class ProfileComparison:
     row_count_a: int
@@ -165,11 +170,14 @@ def check_quality_gates(
     allow_missing_columns: bool = False,
     fail_on_dtype_change: bool = True,
 ) -> QualityGateResult:
-    """Whether the current profile stays near the baseline; a threshold of None switches its gate off."""
+    """Whether the current profile stays near the baseline; a threshold of None switches its gate off.
+
+    A frame in a profile's place costs one aggregate, and one distinct for the gate on duplicates.
+    """
     limits = (max_row_count_delta_ratio, max_duplicate_ratio_delta, max_null_ratio_delta, max_numeric_mean_delta_ratio, max_numeric_std_delta_ratio)
     if any(x is not None and x < 0 for x in limits):
         raise ValueError("check_quality_gates: thresholds must not be negative")
-    a, b = _report(baseline_profile), _report(current_profile)
+    a, b = (_outline(x, max_duplicate_ratio_delta is not None) for x in (baseline_profile, current_profile))
     out: list[QualityGateIssue] = []
 
     def gate(name: str, column: str | None, x, y, delta: float, most: float | None) -> None:
@@ -177,13 +185,14 @@ def check_quality_gates(
             out.append(QualityGateIssue(name, f"{name} of {column or 'the frame'} went from {x} to {y}, by {delta:.4g}; at most {most} is allowed", column, x, y, most))
 
     gate("row_count", None, a.row_count, b.row_count, _relative(a.row_count, b.row_count), max_row_count_delta_ratio)
-    gate("duplicate_ratio", None, a.duplicate_ratio, b.duplicate_ratio, b.duplicate_ratio - a.duplicate_ratio, max_duplicate_ratio_delta)
+    if max_duplicate_ratio_delta is not None:
+        gate("duplicate_ratio", None, a.duplicate_ratio, b.duplicate_ratio, b.duplicate_ratio - a.duplicate_ratio, max_duplicate_ratio_delta)
     if not allow_missing_columns:
         out += [QualityGateIssue("missing_column", f"column {n} is missing", n) for n in a.columns if n not in b.columns]
     if not allow_new_columns:
         out += [QualityGateIssue("new_column", f"column {n} is new", n) for n in b.columns if n not in a.columns]
     for n, x in a.columns.items():
-        y: ColumnProfile | None = b.columns.get(n)
+        y: ColumnProfile | ColumnOutline | None = b.columns.get(n)
         if y is None:
             continue
         if x.dtype != y.dtype:

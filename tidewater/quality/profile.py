@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import text
@@ -187,6 +187,43 @@ def _ratio(n, of) -> float:
     return round(n / of, 6) if of else 0.0
 
 
+def _values(kinds: dict[str, str], columns: list[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Each column with NaN as null, and the finite values of each numeric one."""
+    value = {c: F.when(~F.isnan(quoted(c)), quoted(c)) if kinds[c] == "float64" else quoted(c) for c in columns}
+    return value, {c: F.when(F.abs(value[c].cast("double")) < float("inf"), value[c].cast("double")) for c in columns if kinds[c] in ("int64", "float64")}
+
+
+@dataclass
+class ColumnOutline:
+    """As in the column's profile."""
+
+    dtype: str
+    null_ratio: float
+    mean: float | None
+    std: float | None
+
+
+@dataclass
+class Outline:
+    """What drift and gates compare of a profile."""
+
+    row_count: int
+    columns: dict[str, ColumnOutline]
+    duplicate_ratio: float | None = None
+
+
+def outline(df: DataFrame, duplicates: bool = False) -> Outline:
+    """The frame's outline, each figure as ``profile`` gives it: one aggregate, and one distinct for the share of ``duplicates``."""
+    kinds = dtypes(df)
+    value, finite = _values(kinds, df.columns)
+    parts = [F.struct(F.count_if(v.isNull()).alias("nulls"), *[f(finite[c]).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp)) if c in finite]).alias(f"s{i}") for i, (c, v) in enumerate(value.items())]
+    rows, *found = df.agg(F.count(F.lit(1)), *parts).first()
+    out = Outline(rows, {c: ColumnOutline(kinds[c], _ratio(s["nulls"], rows), *((s["mean"], s["std"]) if c in finite else (None, None))) for c, s in zip(value, found, strict=True)})
+    if duplicates:
+        out.duplicate_ratio = _ratio(rows - df.distinct().count(), rows) if df.columns else 0.0
+    return out
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column with all its statistics.
 
@@ -195,8 +232,7 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     the state of all the rest through the shuffle.
     """
     kinds = dtypes(df)
-    value = {c: F.when(~F.isnan(quoted(c)), quoted(c)) if kinds[c] == "float64" else quoted(c) for c in columns}
-    finite = {c: F.when(F.abs(value[c].cast("double")) < float("inf"), value[c].cast("double")) for c in columns if kinds[c] in ("int64", "float64")}
+    value, finite = _values(kinds, columns)
     found = dict(zip(finite, quantiles(df, list(finite.values()), QUANTILES), strict=True))
     aggregates, parts = [], []
     for i, c in enumerate(columns):
