@@ -89,10 +89,12 @@ ODD = [(1, float("nan"), "a", None, True), (2, float("inf"), " ", None, None), (
 
 
 @pytest.mark.parametrize("size", [0, 6])
-def test_gates_of_frames_are_those_of_their_profiles(spark, size):
+def test_comparisons_of_frames_are_those_of_their_profiles(spark, size):
     a = spark.createDataFrame(ODD, "`n.o` long, x double, s string, gone double, flag boolean").coalesce(1)
     b = a.limit(size).select(F.col("`n.o`").cast("string").alias("n.o"), (F.col("x") * 3).alias("x"), "s", F.lit(None).cast("string").alias("none"), "gone")
     p, q = tw.profile(a), tw.profile(b)
+    assert tw.detect_drift(a, b) == tw.detect_drift(p, q) == tw.detect_drift(p, b)
+    assert tw.detect_drift(b, a) == tw.detect_drift(q, p) == tw.detect_drift(q, a)
     for options in ({}, {"max_duplicate_ratio_delta": None}, {"max_duplicate_ratio_delta": 0, "max_null_ratio_delta": 0, "max_numeric_mean_delta_ratio": 0}):
         assert tw.check_quality_gates(a, b, **options) == tw.check_quality_gates(p, q, **options)
         assert tw.check_quality_gates(b, a, **options) == tw.check_quality_gates(q, p, **options) == tw.check_quality_gates(q, a, **options)
@@ -102,3 +104,8 @@ def test_gates_shuffle_no_more_than_the_distinct_rows(spark):
     df = spark.range(50_000, numPartitions=8).select(((F.col("id") * 7919) % 50_021).alias("id")).withColumn("name", F.concat(F.lit("Customer#"), F.col("id")))
     least = shuffled(spark, lambda: df.distinct().count())
     assert shuffled(spark, lambda: tw.check_quality_gates(df, df)) < 2.1 * least
+
+
+def test_drift_shuffles_no_values(spark):
+    df = spark.range(50_000, numPartitions=8).select("id", F.concat(F.lit("Customer#"), F.col("id")).alias("name"))
+    assert shuffled(spark, lambda: tw.detect_drift(df, df)) < 10_000

@@ -94,8 +94,11 @@ class DriftReport:
 
 
 def detect_drift(old, new) -> DriftReport:
-    """What changed from one profile to the next; another number of rows is drift too."""
-    a, b = _report(old), _report(new)
+    """What changed from one profile to the next; another number of rows is drift too.
+
+    A frame in a profile's place costs one aggregate.
+    """
+    a, b = _outline(old), _outline(new)
     both = [n for n in a.columns if n in b.columns]
     return DriftReport(
         [n for n in b.columns if n not in a.columns],
