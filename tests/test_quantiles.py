@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import tidewater as tw
+from tidewater.functions import text
 from tidewater.operators import quantiles as Q
 from tidewater.quality import profile
 
@@ -109,3 +112,14 @@ def test_gates_shuffle_no_more_than_the_distinct_rows(spark):
 def test_drift_shuffles_no_values(spark):
     df = spark.range(50_000, numPartitions=8).select("id", F.concat(F.lit("Customer#"), F.col("id")).alias("name"))
     assert shuffled(spark, lambda: tw.detect_drift(df, df)) < 10_000
+
+
+def test_stripping_is_pythons_and_linear(spark):
+    """White space inside a text was tried again from each of its characters."""
+    values = [f"{chr(i)} x{chr(i)}y{chr(i)}" for i in range(1, 0x3100)] + ["", " ", "　", "\U0001f600 ", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.strip_unicode(F.col("v")).alias("bare")).collect()
+    assert all(r.bare == (r.v.strip() if r.v is not None else None) for r in rows)
+    began = time.perf_counter()
+    long = spark.range(1, numPartitions=1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 300_000 + F.col("id").cast("int")), F.lit("b ")).alias("v"))
+    assert long.select(F.length(text.strip_unicode(F.col("v")))).first()[0] == 300_002
+    assert time.perf_counter() - began < 15

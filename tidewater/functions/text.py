@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 C_SPACE = r"[ \t\n\x0B\f\r]"
 #: White space as Python's str.strip sees it.
 U_SPACE = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_U_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def strip(c: Column) -> Column:
@@ -18,7 +19,8 @@ def strip(c: Column) -> Column:
 
 
 def strip_unicode(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{U_SPACE}+|{U_SPACE}+\z", "")
+    """As Python's str.strip; a trim, since an expression would be tried at every character."""
+    return F.btrim(c, F.lit(_U_SPACES))
 
 
 def lower(c: Column) -> Column:

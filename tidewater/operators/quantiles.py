@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 PER_UNIT, BINS, FEW, TOGETHER = 64, 1 << 16, 100_000, 16
 
 
-def _counted(df: DataFrame, cells: list[Column]) -> DataFrame:
-    """(at, key, n, lo, hi, end) of structs of (at, key, x): rows, least and greatest x of each key, and rows up to it."""
-    bins = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("at is not null and key is not null").groupBy("at", "key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+def _counted(df: DataFrame, cells: list[Column], some: Column | None = None) -> DataFrame:
+    """(at, key, n, lo, hi, end) of structs of (at, key, x): rows, least and greatest x of each key, and rows up to it.
+
+    ``some`` tells which rows have a cell at all; of the others no structs are made.
+    """
+    all_of_them = F.array(*cells)
+    bins = df.select(F.explode(all_of_them if some is None else F.when(some, all_of_them)).alias("c")).select("c.*").where("at is not null and key is not null").groupBy("at", "key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     return bins.withColumn("end", F.sum("n").over(Window.partitionBy("at").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -46,6 +50,10 @@ def quantiles(df: DataFrame, columns: list[Column], at: list[float]) -> list[lis
 
 
 def _some(df: DataFrame, columns: list[Column], at: list[float]) -> list[list[float] | None]:
+    # each value is asked for many times, so it is found once
+    df = df.select(*[x.alias(f"x{i}") for i, x in enumerate(columns)])
+    columns = [F.col(f"x{i}") for i in range(len(columns))]
+
     def cell(i, x, key):
         return F.struct(i.cast("int").alias("at"), key.cast("double").alias("key"), x.alias("x"))
 
@@ -74,19 +82,20 @@ def _some(df: DataFrame, columns: list[Column], at: list[float]) -> list[list[fl
                 found |= {(i, r): lo + 0.0 for r in inside}
         if not wide:
             break
-        cells, wanted = [], F.lit(False)
+        cells, wanted, some = [], F.lit(False), F.lit(False)
         for i, x in enumerate(columns):
             which, key = F.lit(None), F.lit(None)
             for t, ((j, before, n, lo, hi), inside) in enumerate(wide):
                 if i == j:
                     # each step of the finer bin is monotone in x, rounding included
                     here, fine = x.between(lo, hi), x if n <= FEW else F.least(F.lit(float(BINS - 1)), F.floor((x - lo) / (hi - lo) * BINS).cast("double"))
+                    some = some | here
                     which, key = F.when(here, F.lit(t)).otherwise(which), F.when(here, fine).otherwise(key)
                     for r in inside:
                         wanted = wanted | ((F.col("at") == t) & _inside(F.lit(r - before), F.col("end"), F.col("n")))
             if any(j == i for (j, *_), _ in wide):
                 cells.append(cell(which, x, key))
-        bins = [(wide[r["at"]][0][0], wide[r["at"]][0][1] + r["end"] - r["n"], r["n"], r["lo"], r["hi"]) for r in _counted(df, cells).where(wanted).collect()]
+        bins = [(wide[r["at"]][0][0], wide[r["at"]][0][1] + r["end"] - r["n"], r["n"], r["lo"], r["hi"]) for r in _counted(df, cells, some).where(wanted).collect()]
         if not {(j, r) for (j, *_), inside in wide for r in inside} <= {(j, r) for j, before, n, *_ in bins for r in ranks[j] if before <= r < before + n}:
             raise RuntimeError("quantiles: the frame's values change from one reading to the next")
 

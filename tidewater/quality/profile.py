@@ -246,7 +246,8 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
             one |= {"min": F.min(n), "max": F.max(n), "mean": F.avg(n), "whitespace_count": F.count_if(v != bare), "empty_string_count": F.count_if(bare == "")}
             one |= {k: F.count_if(bare.rlike(r)) for k, r in (("emails", EMAIL), ("urls", URL), ("phones", PHONE), ("dates", DATE), ("ints", INTEGER))}
             number = F.abs(bare.try_cast("double")) < float("inf")
-            one |= {"bools": F.count_if(F.lower(bare).isin(*BOOLEAN)), "floats": F.count_if(number & bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"))}
+            # the cast comes second: of a text that is no number, it costs an exception
+            one |= {"bools": F.count_if(F.lower(bare).isin(*BOOLEAN)), "floats": F.count_if(bare.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$") & number)}
         aggregates.append(F.struct(*[x.alias(n) for n, x in one.items()]).alias(f"s{i}"))
         known = {n: F.col(f"s{i}.{n}") for n in one} | {"unique_count": F.col(f"u{i}")} | dict(zip(("q25", "q50", "q75", "q95"), map(F.lit, found.get(c) or ()), strict=False))
         parts.append(F.struct(F.lit(c).alias("name"), F.lit(kind).alias("dtype"), *[known.get(n, F.lit(None)).cast(t).alias(n) for n, t in _STATS]))
@@ -260,17 +261,18 @@ _STATS = [(n, "long") for n in ("row_count", "null_count", "unique_count", "fini
 
 def histograms(df: DataFrame, ranges: dict[str, tuple[float, float]], fences: dict[str, tuple[float, float]] | None = None) -> dict[str, tuple[list[int], int]]:
     """Counts in ``BINS`` equal bins, the last one closed, and outliers beyond the fences; one aggregate for all columns."""
-    exprs = []
-    for c, (lo, hi) in ranges.items():
+    cells, exprs = [], []
+    for i, (c, (lo, hi)) in enumerate(ranges.items()):
         x = F.when(F.abs(quoted(c).cast("double")) < float("inf"), quoted(c).cast("double"))
         step = (hi - lo) / BINS
-        at = F.when(x.isNotNull(), F.least(F.lit(BINS - 1), F.floor((x - lo) / step).cast("int")))  # ``least`` skips nulls
-        exprs += [F.count_if(at == k) for k in range(BINS)]
         f = (fences or {}).get(c)
-        exprs.append(F.count_if((x < f[0]) | (x > f[1])) if f else F.lit(0).cast("long") + F.count(F.lit(1)) * 0)
+        # a column of their own, so that they are found once a row
+        cells.append(F.when(x.isNotNull(), F.least(F.lit(BINS - 1), F.floor((x - lo) / step).cast("int"))).alias(f"at{i}"))  # ``least`` skips nulls
+        cells.append((((x < f[0]) | (x > f[1])) if f else F.lit(False)).alias(f"out{i}"))
+        exprs += [F.count_if(F.col(f"at{i}") == k) for k in range(BINS)] + [F.count_if(F.col(f"out{i}"))]
     if not exprs:
         return {}
-    found = df.agg(*[x.alias(f"h{i}") for i, x in enumerate(exprs)]).first()
+    found = df.select(*cells).agg(*[x.alias(f"h{i}") for i, x in enumerate(exprs)]).first()
     return {c: (list(found[k * (BINS + 1) : k * (BINS + 1) + BINS]), found[k * (BINS + 1) + BINS]) for k, c in enumerate(ranges)}
 
 
